@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm import components, copies, mixing, tokens
+from quarrylight.llm import components, copies, mixing, pieces, sentences, tokens
+from quarrylight.llm.sql import SQL as SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,31 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_key").alias("line_no"), "split_name")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the profile 'wide' cuts, and those of them that have no boundary somewhere."""
+    limit, overlap = _profile(spark, sf_dir, "wide")
+    found = pieces.split_documents(_table(spark, sf_dir, "documents"), "doc_id", "content", limit, overlap, with_text=False)
+    kinds = F.array(F.lit("over"), F.when(F.col("longest_solid") > limit, F.lit("solid")))
+    return found.where("piece_no = 0").select("doc_id", F.explode(F.array_compact(kinds)).alias("kind"))
+
+
+def _profile(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    row = _table(spark, sf_dir, "chunk_profiles").where(F.col("profile") == name).first()
+    if row is None:
+        raise ValueError(f"no profile {name!r}")
+    return row["max_chars"], row["overlap_chars"]
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized contents by the profile 'stock', with their texts."""
+    return pieces.split_documents(_table(spark, sf_dir, "documents"), "doc_id", "content", *_profile(spark, sf_dir, "stock"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every text."""
+    return sentences.sentence_units(_table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of each document's text."""
     return tokens.encode_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -61,5 +87,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p6_ids, p7_mixture, p7_shares, p8_found)
+}

@@ -153,6 +153,9 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
     if point and not closed:
         before = TOKEN.search(text, max(0, start - 16), start).group(0)
         low = before.lower().rpartition("'")[2]  # "l'art" is "art"
+        head_part, _, tail_part = low.rpartition(".")
+        if len(head_part.rpartition(".")[2]) > 2:  # the end of a word before, written without a space
+            low = tail_part
         short = low.rpartition(".")[2].lstrip("-")
         numbered = first.isdigit()
         if low in LEADING:
@@ -244,8 +247,6 @@ def events(text: str, fields: bool) -> tuple[list[int], list[int]]:
             if found:
                 symbols.append(found[0])
                 ends.append(found[1])
-            else:  # closing quotes after the mark are events of their own
-                pass
         elif kind == "line":
             if fields or len(BREAKS.findall(m.group(0))) > 1 or end >= len(text):
                 symbols.append(BREAK)
