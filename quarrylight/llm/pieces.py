@@ -1,7 +1,7 @@
 """Splitting oversized texts at natural boundaries by packing a structure tree.
 
-A text is parsed into a tree: sections under headings, paragraphs and list blocks, lines
-and list items, sentences, clauses, words. Nodes are stretches between two positions, so
+A text is parsed into a tree: sections under headings, paragraphs and list blocks, list
+items, sentences, lines, clauses, words. Nodes are stretches between two positions, so
 nothing is copied and every character belongs to a leaf. Sibling subtrees are merged from
 the left as long as they fit together; only a node that is larger than a piece by itself
 is descended into, and a stretch without any boundary is cut where the limit is.
@@ -28,8 +28,8 @@ LEVELS: list[tuple[str, re.Pattern]] = [
     ("section", re.compile(rf"{_LINE}(?=[^\S\n\r]*(?:#{{1,6}}[ \t]|={{3,}}|-{{3,}}[ \t]*(?:[\n\r]|$)|<h[1-6]\b))")),
     ("paragraph", re.compile(rf"{_LINE}[^\S\n\r]*{_LINE}\s*")),
     ("item", re.compile(rf"{_LINE}(?=[^\S\n\r]*(?:[-*+•‣◦▪]|\(?\d{{1,3}}[.)]|<li\b|<p\b|<tr\b)[ \t>\xa0])")),
-    ("line", re.compile(rf"{_LINE}\s*")),
     ("sentence", re.compile(r"(?:[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”’）]*\s*|[।؟]+\s*)")),
+    ("line", re.compile(rf"{_LINE}\s*")),
     ("clause", re.compile(r"(?:[;:,]\s+|[；：，、]\s*|[|)\]}]\s+|</\w+>\s*)")),
     ("word", re.compile(r"(?:\s+|[.!?;:,]+(?=\S))")),
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm import components, copies, mixing, pieces, sentences, tokens
+from quarrylight.llm import components, copies, mixing, near_duplicates, pieces, sentences, tokens
 from quarrylight.llm.sql import SQL as SQL
 
 
@@ -67,6 +67,25 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, sf_dir, "documents"))
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    prose = _table(spark, sf_dir, "documents").where("form = 'prose'")
+    return near_duplicates.near_duplicates(spark, prose, "doc_id", "content")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of class representatives, and every copy with the representative of its class."""
+    members, links = _near(spark, sf_dir)
+    copied = members.where("id <> class_id").select(F.col("class_id").alias("doc_id_a"), F.col("id").alias("doc_id_b"))
+    return links.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).union(copied)
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every document, and how many other classes are similar to it."""
+    members, links = _near(spark, sf_dir)
+    ends = links.select(F.col("a").alias("class_id")).union(links.select("b"))
+    return members.join(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links")), "class_id", "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of each document's text."""
     return tokens.encode_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -89,5 +108,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p6_ids, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found)
 }

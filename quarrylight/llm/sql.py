@@ -12,7 +12,7 @@ list_sort(list_distinct(list_filter(list_transform(
   CASE WHEN regexp_matches(content, '^\\s*\\{{')
     THEN regexp_extract_all(content, '"[^"]*"\\s*:\\s*"[^"]*"')
     ELSE regexp_split_to_array(content, '[\\n\\r;|]+') END,
-  p -> {norm("regexp_extract(p, '^([^:=]*)', 1)")} || '=' || {norm("regexp_extract(p, '(?s)^[^:=]*[:=](.*)$', 1)")}), x -> x <> '=')))"""
+  lambda p: {norm("regexp_extract(p, '^([^:=]*)', 1)")} || '=' || {norm("regexp_extract(p, '(?s)^[^:=]*[:=](.*)$', 1)")}), lambda x: x <> '=')))"""
 
 KEYED = f"""
   SELECT 'documents' AS tbl, doc_id AS k, form, content FROM documents
@@ -44,6 +44,16 @@ WITH p AS (SELECT max(max_chars) AS n FROM chunk_profiles WHERE profile = 'wide'
 over_ AS (SELECT doc_id, content, n FROM documents, p WHERE length(content) > n)
 SELECT doc_id, 'over' AS kind FROM over_
 UNION ALL
-SELECT doc_id, 'solid' FROM over_ WHERE list_max(list_transform(regexp_split_to_array(content, '[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}.!?;:,。！？；：，、]+'), x -> length(x))) > n"""
+SELECT doc_id, 'solid' FROM over_ WHERE list_max(list_transform(regexp_split_to_array(content, '[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}.!?;:,。！？；：，、]+'), lambda x: length(x))) > n"""
+
+P5_FOUND = f"""
+WITH t AS (SELECT doc_id, {norm("content")} AS c FROM documents WHERE form = 'prose' AND content IS NOT NULL),
+k AS (SELECT c, min(doc_id) AS a FROM t WHERE length(c) >= 12 GROUP BY c),
+g AS (SELECT DISTINCT a, substr(c, i::INT, 12) AS x FROM k, unnest(range(1, length(c) - 10)) AS r(i)),
+n AS (SELECT a, count(*) AS n FROM g GROUP BY a),
+p AS (SELECT l.a AS a, r.a AS b, count(*) AS both_ FROM g l JOIN g r ON l.x = r.x AND l.a < r.a GROUP BY 1, 2)
+SELECT p.a AS doc_id_a, p.b AS doc_id_b FROM p JOIN n na ON na.a = p.a JOIN n nb ON nb.a = p.b WHERE both_ >= 0.6 * (na.n + nb.n - both_)
+UNION ALL
+SELECT k.a, t.doc_id FROM t JOIN k USING (c) WHERE t.doc_id <> k.a"""
 
-SQL = {"p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+SQL = {"p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
