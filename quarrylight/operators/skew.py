@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: The heaviest keys are joined by broadcast; this many at most, which bounds the broadcast.
 HEAVY_KEYS = 64
+#: Up to so many rows a side is joined plainly: even a third of them is little for one task.
+PLAIN_ROWS = 2_000_000
 
 
 def join_unique_skewed(
-    left: DataFrame, right: DataFrame, key: str, weight: Column, how: str = "inner", heavy_keys: int = HEAVY_KEYS
+    left: DataFrame, right: DataFrame, key: str, weight: Column, how: str = "inner", heavy_keys: int = HEAVY_KEYS, left_rows: int | None = None
 ) -> DataFrame:
     """Joins ``left`` to ``right``, which has one row per ``key``, when keys of ``left`` are skewed.
 
@@ -18,10 +20,13 @@ def join_unique_skewed(
     ``heavy_keys`` rows travel), all others by a shuffle in which no key can hold more than
     1/``heavy_keys`` of the rows. No row is dropped: both parts together are the whole join.
     ``right`` is used twice and should be a written table. ``how``: ``inner`` or ``left``.
-    Null keys match nothing; with ``left`` their rows stay.
+    Null keys match nothing; with ``left`` their rows stay. ``left_rows``: the number of rows
+    of ``left`` where the caller knows it; few rows take one plain join, with the same result.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    if left_rows is not None and left_rows <= PLAIN_ROWS:
+        return left.join(right, key, how)
     heavy = right.orderBy(weight.desc(), F.col(key)).limit(heavy_keys)
     marks = F.broadcast(heavy.select(F.col(key).alias("_heavy_key")))
     marked = left.join(marks, left[key] == F.col("_heavy_key"), "left")
