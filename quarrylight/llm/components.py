@@ -10,10 +10,10 @@ from quarrylight.operators.skew import join_unique_skewed
 from quarrylight.session import Workspace
 
 
-def _towards_minimum(edges: DataFrame) -> DataFrame:
+def _towards_minimum(edges: DataFrame, n_edges: int) -> DataFrame:
     """(u, v) -> (u, v, least, n): the least neighbour of each u, by aggregation and a skew-safe join."""
     least = edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
-    return join_unique_skewed(edges, least, "u", F.col("n"))
+    return join_unique_skewed(edges, least, "u", F.col("n"), left_rows=n_edges)
 
 
 def star_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -29,11 +29,11 @@ def star_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100
     space = Workspace(spark, "stars")
     u, v = F.col("u"), F.col("v")
     current = space.write(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "round-0")
-    state = None
+    state = (current.count(), None)
     for k in range(1, max_rounds + 1):
         both = current.union(current.select("v", "u"))
-        large = _towards_minimum(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).where("u <> v").distinct()
-        pulled = _towards_minimum(large.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")))
+        large = _towards_minimum(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).where("u <> v").distinct()
+        pulled = _towards_minimum(large.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")), 2 * state[0])
         small = pulled.select("v", "least").where("v <> least").union(pulled.select("u", "least")).toDF("u", "v").distinct()
         current = space.write(small, f"round-{k}")
         now = tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -58,15 +58,15 @@ def related_groups(spark: SparkSession, df: DataFrame, row_key: str, strong: str
     rows = df.select(df[f"`{row_key}`"].cast("long").alias("row_key"), df[f"`{strong}`"].cast("string").alias("_strong"), df[f"`{weak}`"].cast("string").alias("_weak"))
     rows = rows.select("row_key", F.concat(F.lit("0"), name).alias("a"), F.concat(F.lit("1"), F.col("_weak")).alias("b"))
     found = star_components(spark, rows.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    space = Workspace(spark, "groups")
+    space, n_rows = Workspace(spark, "groups"), rows.count()
     entity = F.coalesce("b", "a", F.concat(F.lit("2"), F.col("row_key").cast("string")))
     keyed = rows.select("row_key", entity.alias("node"))
     weight = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     sized = weight.join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
-    placed = space.write(join_unique_skewed(keyed, sized, "node", F.col("n")).select("row_key", "component"), "placed")
+    placed = space.write(join_unique_skewed(keyed, sized, "node", F.col("n"), left_rows=n_rows).select("row_key", "component"), "placed")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_rows"))
     group_in = F.when(F.col("component").startswith("0"), F.expr("substring(component, 2)"))
-    return join_unique_skewed(placed, sizes, "component", F.col("n_rows")).select("row_key", "component", group_in.alias("group_in"), "n_rows")
+    return join_unique_skewed(placed, sizes, "component", F.col("n_rows"), left_rows=n_rows).select("row_key", "component", group_in.alias("group_in"), "n_rows")
 
 
 def assign_splits(groups: DataFrame, targets: DataFrame, heavy_share: float = 0.005, seed: int = 0) -> DataFrame:

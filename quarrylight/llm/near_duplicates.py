@@ -11,12 +11,14 @@ transpose counts the runs that two documents share. It isn't formed over all run
   on average a common stretch has many characters more than an anchor. An anchor is a
   run of ``anchor`` characters whose hash is the least among ``window`` neighbours: any
   common stretch of ``anchor + window - 1`` characters has one in both texts.
-* Of its anchors a document needs only the rarest: two similar documents share at least the
-  fraction ``gamma`` of their anchors, so all but ``gamma`` of the most frequent ones, in one order
-  for all documents, still contain a common one. Phrases that occur everywhere drop out.
+* Of its anchors a document needs only the rarer ones: two similar documents share at least
+  the fraction ``common`` of their anchors. Each leaves out the fraction ``spare`` of its most
+  frequent ones, in one order for all documents, so a similar pair still shares at least
+  ``common - spare`` of the larger one's. Phrases that occur everywhere drop out.
 * The product runs in blocks: an anchor's documents are cut into blocks, and each pair of
   blocks is multiplied apart. Counts are added up per pair, and pairs are dropped that
-  share fewer anchors than their sizes demand, or whose sizes alone rule out the threshold.
+  share less than ``common - spare`` of the smaller one's anchors, or whose sizes alone rule
+  out the threshold.
 
 What remains is compared exactly, over all runs of both whole texts.
 """
@@ -47,7 +49,8 @@ class Setting:
     threshold: float = 0.6
     anchor: int = 24
     window: int = 20
-    gamma: float = 0.15
+    common: float = 0.3
+    spare: float = 0.2
     #: Documents in one block of an anchor's list.
     block: int = 256
 
@@ -142,19 +145,22 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     many = marked.where(common).drop("cell")
     counts = many.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
     several = few.where("df > 1").unionByName(join_unique_skewed(many, counts.where("df > 1"), "anchor", F.col("df")))
-    # All but the share gamma of a document's anchors, the most frequent ones last in one order for all.
-    demand = F.greatest(F.lit(1), F.floor(F.col("n_anchors") * setting.gamma).cast("int"))
+    # The most frequent anchors of a document are spared, in one order for all; ``least`` is what a pair has to share.
+    spared = F.floor(F.col("n_anchors") * setting.spare).cast("int")
+    least = F.greatest(F.lit(1), F.floor(F.col("n_anchors") * (setting.common - setting.spare)).cast("int"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("df").desc(), "anchor"))
-    prefix = space.write(several.withColumn("place", place).where(F.col("place") >= demand).select("anchor", "id", "n_runs", "df"), "prefix")
+    kept = several.withColumn("place", place).where(F.col("place") > spared)
+    prefix = space.write(kept.select("anchor", "id", "n_runs", least.alias("least"), F.col("df").cast("int").alias("df")), "prefix")
     # Blocks: document lists longer than a block are cut, and every pair of blocks is one product.
     n_blocks = F.ceil(F.col("df") / F.lit(blocks)).cast("int")
-    own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    every = F.sequence(F.lit(0), n_blocks - 1)
-    rows = prefix.select("anchor", F.col("id").alias("a"), F.col("n_runs").alias("n_a"), own.alias("i"), F.explode(every).alias("j"))
-    columns = prefix.select("anchor", F.col("id").alias("b"), F.col("n_runs").alias("n_b"), own.alias("j"), F.explode(every).alias("i"))
+    own = F.when(n_blocks > 1, F.pmod(F.xxhash64("id"), n_blocks)).otherwise(0).cast("int")
+    cut = prefix.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), n_blocks - 1))})
+    rows = cut.select("anchor", F.col("id").alias("a"), F.col("n_runs").alias("n_a"), F.col("least").alias("l_a"), F.col("own").alias("i"), F.col("other").alias("j"))
+    columns = cut.select("anchor", F.col("id").alias("b"), F.col("n_runs").alias("n_b"), F.col("least").alias("l_b"), F.col("own").alias("j"), F.col("other").alias("i"))
     sizes = F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")
     pairs = rows.join(columns, ["anchor", "i", "j"]).where((F.col("a") < F.col("b")) & sizes)
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).select("a", "b")
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l_a", "l_b")).alias("least"))
+    return counted.where("shared >= least").select("a", "b")
 
 
 def jaccard(a: str, b: str, width: int) -> float:
