@@ -213,11 +213,14 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str, text: str, set
     if n_copies <= COPIES_BROADCAST:
         gone = F.broadcast(gone)
     reps = described.join(gone, "id", "left_anti")
+    ids = space.write(described.select("id"), "ids")
     pairs = space.write(_candidates(space, reps, setting), "candidates")
+    space.drop("prefix")  # what follows reads the written ids, copies and candidates only
+    space.drop("described")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     source = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{text}`"].cast("string").alias("text"))
     links = _verify(pairs, source.join(wanted, "id", "left_semi"), setting)
-    members = described.select("id").join(copies, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    members = ids.join(copies, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     return members, links
 
 
