@@ -28,7 +28,7 @@ def query_summary(predictions: DataFrame, queries: DataFrame, qrels: DataFrame,
     query that found nothing is one row of predictions with a null document_id.
     """
     judged = judged_results(predictions, queries, qrels, policy)
-    relevant = F.when("is_relevant", F.col("document_id"))
+    relevant = F.when(F.col("is_relevant"), F.col("document_id"))
     agg = judged.groupBy("run_id", "query_id", "IN").agg(
         F.count_distinct("document_id").alias("retrieved_document_count"),
         F.count_distinct(relevant).alias("retrieved_relevant_count"),
