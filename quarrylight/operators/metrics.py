@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from quarrylight.schemas import duplicate_ids, require, resolve_qrels
+from quarrylight.schemas import duplicate_ids, resolve_qrels
 
 METRICS = ("HitRate", "MAP", "MRR", "NDCG", "Precision", "Recall")
 #: Other names of metrics, lower-cased and without separators; fixed values.
@@ -74,7 +74,7 @@ def query_metrics(predictions: DataFrame, queries: DataFrame, qrels: DataFrame,
     unique ids, ``qrels`` (IN, document_id, label). A query with an empty list can be given as
     one row with a null document_id. ``policy``: see ``resolve_qrels``. ``map_divisor``: average
     precision is over the hits within k (``hits``) or over min(k, positives) (``ideal``).
-    With ``check``, repeated query ids raise at once and unknown ones on reading; else a
+    With ``check``, repeated and unknown query ids raise at once; else a
     repeated id takes its smallest need and unknown ones don't count.
 
     Plan: lists are collapsed and cut by partial aggregation and a group limit; judgments join
@@ -89,10 +89,13 @@ def query_metrics(predictions: DataFrame, queries: DataFrame, qrels: DataFrame,
     depth = max(s.k for s in specs)
     if check and duplicate_ids(queries, "id").limit(1).count():
         raise ValueError("the queries have a repeated id")
-    needs = queries.groupBy(F.col("id").alias("query_id")).agg(F.min("IN").alias("IN"), F.lit(True).alias("_known"))
-    asked = predictions.select(*by, "query_id").distinct().join(needs, "query_id", "left")
-    if check:
-        asked = require(asked, F.col("_known"), F.concat(F.lit("unknown query "), F.col("query_id")))
+    needs = queries.groupBy(F.col("id").alias("query_id")).agg(F.min("IN").alias("IN"))
+    asked = predictions.select(*by, "query_id").distinct()
+    if check:  # at once: later joins could leave out the rows that a lazy check would see
+        unknown = asked.join(needs, "query_id", "left_anti").select("query_id").first()
+        if unknown is not None:
+            raise ValueError(f"unknown query {unknown['query_id']!r}")
+    asked = asked.join(needs, "query_id")
     labels = resolve_qrels(qrels, policy)
     counts = labels.where("label > 0").groupBy("IN", "label").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("IN").orderBy(F.col("label").desc())  # as many rows as a need has labels

@@ -128,9 +128,10 @@ def orphan_cascade(
 
     def parents(r: Reference) -> DataFrame:
         df = tables[r.parent]
-        start = column(df, r.present_from) if r.present_from else F.lit(None).cast("timestamp")
-        end = F.coalesce(column(df, r.present_until), F.lit(FOREVER).cast("timestamp")) if r.present_until else F.lit(FOREVER).cast("timestamp")
-        found = df.select(column(df, row_keys[r.parent]).cast("long").alias("_parent_row"), column(df, r.parent_field).cast("string").alias("_key"), start.cast("timestamp").alias("_from"), end.cast("timestamp").alias("_until"))
+        kind = df.schema[r.present_from].dataType.simpleString() if r.present_from else "timestamp"
+        start = column(df, r.present_from) if r.present_from else F.lit(None).cast(kind)
+        end = F.coalesce(column(df, r.present_until).cast(kind), F.lit(FOREVER).cast(kind)) if r.present_until else F.lit(FOREVER).cast(kind)
+        found = df.select(column(df, row_keys[r.parent]).cast("long").alias("_parent_row"), column(df, r.parent_field).cast("string").alias("_key"), start.alias("_from"), end.alias("_until"))
         return found.where("_key IS NOT NULL")
 
     def label(df: DataFrame, r: Reference, level: int) -> DataFrame:
