@@ -52,11 +52,11 @@ def related_groups(spark: SparkSession, df: DataFrame, row_key: str, strong: str
     exactly; a null is no entity, a row with neither is alone. Entities are the nodes, a row
     links its two. Names of ``strong`` entities come before those of ``weak`` ones, so a
     component's least node is its smallest ``strong`` value where it has any: that value is
-    ``group_in``, else null. Repeated rows stay repeated.
+    ``group_in``, else null. Repeated rows stay repeated; rows without a key are left out.
     """
     name = F.lower(F.regexp_replace(F.col("_strong"), r"^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$", ""))
     rows = df.select(df[f"`{row_key}`"].cast("long").alias("row_key"), df[f"`{strong}`"].cast("string").alias("_strong"), df[f"`{weak}`"].cast("string").alias("_weak"))
-    rows = rows.select("row_key", F.concat(F.lit("0"), name).alias("a"), F.concat(F.lit("1"), F.col("_weak")).alias("b"))
+    rows = rows.where("row_key IS NOT NULL").select("row_key", F.concat(F.lit("0"), name).alias("a"), F.concat(F.lit("1"), F.col("_weak")).alias("b"))
     found = star_components(spark, rows.select(F.col("b").alias("u"), F.col("a").alias("v")))
     space, n_rows = Workspace(spark, "groups"), rows.count()
     entity = F.coalesce("b", "a", F.concat(F.lit("2"), F.col("row_key").cast("string")))

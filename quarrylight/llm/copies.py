@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quarrylight.functions.canonical import canonical_key, canonical_text
+from quarrylight.functions.canonical import canonical_key
 from quarrylight.operators.skew import join_unique_skewed
 from quarrylight.session import Workspace, read_text, write_text_atomic
 
@@ -19,17 +19,6 @@ LEDGER = T.StructType([
 ])
 
 
-def keyed(df: DataFrame, tbl: str, row_key: str, content: str = "content", form: str = "form") -> DataFrame:
-    """(tbl, row_key, key) of the rows whose content has a letter or digit; the others have no copies.
-
-    ``row_key`` is the unique BIGINT column. Null or empty contents, and contents of marks
-    and punctuation only, have no row. Other columns may have any names.
-    """
-    text, kind = df[f"`{content}`"], F.coalesce(df[f"`{form}`"], F.lit(""))
-    key = F.when(canonical_text(text, kind).isNotNull(), canonical_key(text, kind, F.lit(tbl)))
-    return df.select(F.lit(tbl).alias("tbl"), df[f"`{row_key}`"].cast("long").alias("row_key"), key.alias("key")).where("key IS NOT NULL")
-
-
 class CopyLedger:
     """Counts per canonical key, kept in buckets of the key, batch after batch.
 
@@ -120,7 +109,7 @@ def find_copies(spark: SparkSession, sources: list[tuple[str, DataFrame, str, st
         number = F.coalesce(F.least(F.floor((at - F.lit(low)) / F.lit(span) * batches), F.lit(batches - 1)), F.lit(0)).cast("int")
         key = canonical_key(text, kind, F.lit(tbl))
         parts.append(
-            df.where(text.rlike(r"[\p{L}\p{N}]")).select(F.lit(tbl).alias("tbl"), df[f"`{row_key}`"].cast("long").alias("row_key"), key.alias("key"), number.alias("batch"))
+            df.where(text.rlike(r"[\p{L}\p{N}]") & df[f"`{row_key}`"].isNotNull()).select(F.lit(tbl).alias("tbl"), df[f"`{row_key}`"].cast("long").alias("row_key"), key.alias("key"), number.alias("batch"))
         )
     rows = space.write(reduce(DataFrame.unionByName, parts), "keys", "batch")
     ledger = CopyLedger(spark, space.path("ledger"), buckets)

@@ -5,12 +5,13 @@ over lower-cased letters, digits and marks. The product of the incidence matrix
 transpose counts the runs that two documents share. It isn't formed over all runs:
 
 * Texts that are equal after reduction are one class; only its smallest key takes part.
-* Rows of the matrix are thinned without losing a similar pair. If two texts share at least
-  the fraction ``threshold`` of their runs, the smaller has at least ``(1 + 1/t) * t / (1 + t)``
-  of its runs in common, and every place where they differ spoils about ``width`` runs; so
-  on average a common stretch has many characters more than an anchor. An anchor is a
-  run of ``anchor`` characters whose hash is the least among ``window`` neighbours: any
-  common stretch of ``anchor + window - 1`` characters has one in both texts.
+* Rows of the matrix are thinned to anchors: runs of ``length`` characters whose hash is the
+  least among ``window`` neighbours. Any common stretch of ``length + window - 1`` characters
+  has an anchor in both texts. Two texts of n runs with threshold 0.6 have three quarters of
+  the smaller one's runs in common, and each place where they differ spoils about ``width``
+  runs, so some common stretch has at least 36 n / (n + 48) runs. Short texts therefore take
+  denser anchors (see ``Setting.tiers``), and texts near a tier's end take those of both, so
+  that texts of sizes that can be similar always share a tier.
 * Of its anchors a document needs only the rarer ones: two similar documents share at least
   the fraction ``common`` of their anchors. Each leaves out the fraction ``spare`` of its most
   frequent ones, in one order for all documents, so a similar pair still shares at least
@@ -47,8 +48,9 @@ class Setting:
 
     width: int = 12
     threshold: float = 0.6
-    anchor: int = 24
-    window: int = 20
+    #: (least number of runs, length, window) of each tier; a text is in its own tier and in all
+    #: lower ones that a similar smaller text can be in.
+    tiers: tuple[tuple[int, int, int], ...] = ((0, 12, 1), (60, 20, 12), (256, 24, 20))
     common: float = 0.3
     spare: float = 0.2
     #: Documents in one block of an anchor's list.
@@ -77,39 +79,54 @@ def run_hashes(text: str, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def anchors(text: str, setting: Setting) -> np.ndarray:
-    """The distinct anchors of a reduced text; a text too short for one gives its rarest runs' hashes."""
-    h = run_hashes(text, setting.anchor)
-    if not len(h):
-        return np.unique(run_hashes(text, setting.width))
-    w = setting.window
-    if len(h) <= w:
-        return np.unique(np.concatenate([h.min(keepdims=True), run_hashes(text, setting.width)]) if len(h) < w else h.min(keepdims=True))
+def _sparse_runs(text: str, length: int, window: int) -> np.ndarray:
+    """The hashes of runs that are the least of some ``window`` neighbours; of all if there are fewer."""
+    h = run_hashes(text, length)
+    if window == 1 or not len(h):
+        return h
+    if len(h) <= window:
+        return h.min(keepdims=True)
     # Sliding minimum by doubling: least of 1, 2, 4, ... neighbours, then two overlapping ones.
-    size = 1
-    least = h
-    while size * 2 <= w:
+    size, least = 1, h
+    while size * 2 <= window:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
-    if size < w:
-        least = np.minimum(least[: len(h) - w + 1], least[w - size : len(h) - size + 1])
-    keep = np.empty(len(least), bool)
-    keep[0] = True
-    np.not_equal(least[1:], least[:-1], out=keep[1:])
-    return np.unique(least[keep])
+    if size < window:
+        least = np.minimum(least[: len(h) - window + 1], least[window - size : len(h) - size + 1])
+    return least
+
+
+def anchors(text: str, n_runs: int, setting: Setting) -> list[np.ndarray]:
+    """The distinct anchors of a reduced text in each tier; their lowest two bits are the tier."""
+    out = []
+    for tier, (least, length, window) in enumerate(setting.tiers):
+        end = setting.tiers[tier + 1][0] if tier + 1 < len(setting.tiers) else np.inf
+        if least <= n_runs < end / setting.threshold:
+            found = _sparse_runs(text, length, window)
+            out.append(np.unique(found & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(tier))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def _describe(df: DataFrame, key: str, text: str, setting: Setting) -> DataFrame:
-    """(id, digest, n_runs, anchors) of every text of at least ``width`` reduced characters."""
+    """(id, digest, n_runs, sizes, anchors) of every text of at least ``width`` reduced characters.
+
+    ``sizes`` are the numbers of anchors by tier. Rows without a key are left out.
+    """
     import hashlib
 
-    schema = "id BIGINT, digest BINARY, n_runs INT, anchors ARRAY<BIGINT>"
+    schema = "id BIGINT, digest BINARY, n_runs INT, sizes ARRAY<INT>, anchors ARRAY<BIGINT>"
+
+    def lists(values: list[np.ndarray], kind) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows, digests, counts, found = [], [], [], []
+                rows, digests, counts, sizes, found = [], [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     t = reduce_text(t)
                     if len(t) < setting.width:
@@ -117,20 +134,20 @@ def _describe(df: DataFrame, key: str, text: str, setting: Setting) -> DataFrame
                     rows.append(i)
                     digests.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
                     counts.append(len(np.unique(run_hashes(t, setting.width))))
-                    found.append(anchors(t, setting))
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=["id", "digest", "n_runs", "anchors"])
+                    by_tier = anchors(t, counts[-1], setting)
+                    sizes.append(np.array([len(x) for x in by_tier], np.int32))
+                    found.append(np.concatenate(by_tier).view(np.int64))
+                columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists(sizes, np.int32), lists(found, np.int64)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n_runs", "sizes", "anchors"])
 
     chosen = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{text}`"].cast("string").alias("text"))
-    return chosen.where("text IS NOT NULL AND text <> ''").mapInArrow(run, schema)
+    return chosen.where("id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInArrow(run, schema)
 
 
 def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFrame:
     """(a, b) of representatives that may be similar, a < b."""
     t, blocks = setting.threshold, setting.block
-    entries = reps.select("id", "n_runs", F.size("anchors").alias("n_anchors"), F.explode("anchors").alias("anchor"))
+    entries = reps.select("id", F.explode("anchors").alias("anchor"))
     # How often an anchor occurs: the frequent ones are told apart by the counts of hash cells, of which
     # only so many can be large; they are counted by aggregation, the others within their partition.
     cell = F.shiftrightunsigned("anchor", 50)  # 16,384 cells
@@ -146,10 +163,13 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     counts = many.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
     several = few.where("df > 1").unionByName(join_unique_skewed(many, counts.where("df > 1"), "anchor", F.col("df")))
     # The most frequent anchors of a document are spared, in one order for all; ``least`` is what a pair has to share.
-    spared = F.floor(F.col("n_anchors") * setting.spare).cast("int")
-    least = F.greatest(F.lit(1), F.floor(F.col("n_anchors") * (setting.common - setting.spare)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("df").desc(), "anchor"))
-    kept = several.withColumn("place", place).where(F.col("place") > spared)
+    tier = F.col("anchor").bitwiseAND(3)
+    own_size = F.element_at("sizes", (tier + 1).cast("int"))
+    spared = F.floor(own_size * setting.spare).cast("int")
+    least = F.greatest(F.lit(1), F.floor(own_size * (setting.common - setting.spare)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("id", "tier").orderBy(F.col("df").desc(), "anchor"))
+    sized = several.join(reps.select("id", "n_runs", "sizes"), "id").withColumn("tier", tier)
+    kept = sized.withColumn("place", place).where(F.col("place") > spared)
     prefix = space.write(kept.select("anchor", "id", "n_runs", least.alias("least"), F.col("df").cast("int").alias("df")), "prefix")
     # Blocks: document lists longer than a block are cut, and every pair of blocks is one product.
     n_blocks = F.ceil(F.col("df") / F.lit(blocks)).cast("int")
@@ -159,8 +179,8 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     columns = cut.select("anchor", F.col("id").alias("b"), F.col("n_runs").alias("n_b"), F.col("least").alias("l_b"), F.col("own").alias("j"), F.col("other").alias("i"))
     sizes = F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")
     pairs = rows.join(columns, ["anchor", "i", "j"]).where((F.col("a") < F.col("b")) & sizes)
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l_a", "l_b")).alias("least"))
-    return counted.where("shared >= least").select("a", "b")
+    counted = pairs.groupBy("a", "b", F.col("anchor").bitwiseAND(3).alias("tier")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l_a", "l_b")).alias("least"))
+    return counted.where("shared >= least").select("a", "b").distinct()
 
 
 def jaccard(a: str, b: str, width: int) -> float:
@@ -200,7 +220,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str, text: str, set
     smallest key of its class of texts that are equal after reduction. ``links`` (a, b,
     similarity): pairs of class representatives, a < b, whose similarity reaches the
     threshold; copies are not expanded into pairs. Null, empty and shorter texts have no
-    row. Other columns of ``df`` are neither read nor kept.
+    row, rows without a key none either. Other columns of ``df`` are neither read nor kept.
     """
     setting = setting or Setting()
     space = Workspace(spark, "near")

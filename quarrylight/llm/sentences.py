@@ -164,7 +164,7 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
             return None
         if low.isdigit() and head in MONTHS:
             return None
-        if MARKER.match(text, start - len(before)) and DOTTED.match(text, start - len(before)) and text[: start - len(before)].rstrip(" \t")[-1:] in ("", *LINE):
+        if MARKER.match(text, start - len(before)) and DOTTED.match(text, start - len(before)) and text[max(0, start - len(before) - 64) : start - len(before)].rstrip(" \t")[-1:] in ("", *LINE):
             return None  # a list's number
         if len(short) == 1 and short.isalpha() or len(short) == 2 and not short[1].isalnum() and short[0].isalpha():
             pair = _pair(text, start - len(before), low)
@@ -307,7 +307,7 @@ def _after_marker(text: str, at: int) -> bool:
 
 def _wrapped_number(text: str, start: int, end: int) -> bool:
     """Whether "27. " at a line's start is a number of the sentence before the line break."""
-    return bool(DOTTED.match(text, end)) and text[:start].rstrip()[-1:] not in END_MARKS + ":" + CLOSERS
+    return bool(DOTTED.match(text, end)) and text[max(0, start - 64) : start].rstrip()[-1:] not in END_MARKS + ":" + CLOSERS
 
 
 def units(text: str | None, fields: bool = False, chunk: int = CHUNK_EVENTS) -> list[tuple[int, int]]:

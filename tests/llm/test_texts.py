@@ -125,5 +125,36 @@ def test_near_duplicates_against_brute_force(spark):
 @given(st.text(alphabet="abc", min_size=43, max_size=120), st.text(alphabet="abc", max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_a_common_stretch_has_a_common_anchor(shared, other):
+    for _, length, window in nd.Setting().tiers:
+        assert len(np.intersect1d(nd._sparse_runs(shared, length, window), nd._sparse_runs(other + shared, length, window)))
+
+
+@given(st.integers(1, 5000), st.floats(0.6, 1.0))
+@settings(max_examples=200, deadline=None)
+def test_sizes_that_can_be_similar_share_a_tier(n, ratio):
     s = nd.Setting()
-    assert len(np.intersect1d(nd.anchors(shared, s), nd.anchors(other + shared, s)))
+    text = "ab"
+    both = [[len(x) > 0 for x in nd.anchors(text * 40, k, s)] for k in (int(n), int(n / ratio))]
+    assert any(a and b for a, b in zip(*both, strict=True))
+
+
+def test_short_texts_with_edits(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in (14, 30, 50, 66, 90, 150, 300, 420):
+        base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        for _ in range(5):
+            t = list(base)
+            for at in range(60, n, 60):  # evenly spaced changes, the worst case for common stretches
+                t[at + rng.randrange(-2, 3) if at + 2 < n else at] = rng.choice("0123")
+            cut = rng.randrange(0, max(1, n // 8))
+            rows.append((len(rows), "".join(t)[cut:] + "9" * (cut if rng.random() < 0.5 else 0), None))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, content STRING, anchor STRING")
+    _, links = nd.near_duplicates(spark, df, "doc_id", "content")
+    least: dict = {}
+    for k, t, _ in rows:
+        if len(t) >= 12:
+            least.setdefault(t, k)
+    reps = list(least.items())
+    brute = {(a, b) for i, (x, a) in enumerate(reps) for y, b in reps[i + 1 :] if nd.jaccard(x, y, 12) >= 0.6}
+    assert len(brute) > 30 and {(r.a, r.b) for r in links.collect()} == brute
