@@ -103,7 +103,8 @@ def orphan_cascade(
     k - 1. A row is an orphan as soon as one of its fields is; it then no longer counts as
     a counterpart. Keys compare exactly; a null key is no reference; an empty string is a
     key like any other. An empty parent table makes every reference direct. Repeated rows
-    count once each by their row key. Other columns are ignored, whatever they are called.
+    count once each by their row key; child rows without one are left out, parent rows without
+    one count as counterparts for good. Other columns are ignored, whatever they are called.
     Raises if the cascade needs more than ``max_rounds`` rounds, never returns part of it.
 
     Cost: one pass over the keys for level 0. Later rounds semi-join only the keys that
@@ -124,7 +125,7 @@ def orphan_cascade(
         df = tables[r.child]
         time = column(df, r.child_time) if r.child_time else F.lit(None).cast("timestamp")
         found = df.select(column(df, row_keys[r.child]).cast("long").alias("row_key"), column(df, r.field).cast("string").alias("_key"), time.alias("_time"))
-        return found.where("_key IS NOT NULL")
+        return found.where("_key IS NOT NULL AND row_key IS NOT NULL")
 
     def parents(r: Reference) -> DataFrame:
         df = tables[r.parent]
