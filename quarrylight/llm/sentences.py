@@ -48,6 +48,9 @@ STARTERS = set(
     "в на по после почему см чистая новая компоненты полнота "
     "η ο το γιατί μετά στην στη στο".split()
 )
+JOINING = set("and or but nor then yet und oder et y o и или και ή".split())
+#: Of the abbreviations above, those that go on unless a word that begins sentences follows.
+MIDDLE = set("al usw usf т.д т.п др пр κ.λπ κ.ά inc ltd co corp jr u.s u.k".split())
 GOING_ON = set("and or but nor then yet for with without on in at as by against beyond only whenever while because inside between until despite once during across when under long before after "
                "were was is are had has und oder et y o и или και ή mit ohne bei".split())
 SAYING = set("and asked said wrote says asks added replied noted schrieb sagte fragte note notait dit anota dijo écrit écrivit отметили сказал сказали написал και y et und и".split())
@@ -70,6 +73,7 @@ DOTTED = re.compile(r"\d{1,3}\.[ \t]")
 AFTER = re.compile(rf"(?:[ \xa0 ]?[»›]|[{re.escape(CLOSERS)}])*")
 WORD = re.compile(r"[^\W\d_][\w'’]*")
 TOKEN = re.compile(r"[^\s(\[\"“„«‘’`—–/]*$")
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞΆΈ-ΏΑ-ΫЀ-Я]")
 SPACE = re.compile(r"[^\S" + LINE + "]*")
 OPENING, CLOSING = set("„«‹「『（([【《〈"), set("»›」』）)]】》〉")
 
@@ -179,7 +183,9 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
                 return END, end
             if plain_case:
                 return None if lower else (END, end)
-            return (END, end) if head in STARTERS and head not in GOING_ON else None
+            if low in MIDDLE:
+                return (END, end) if head in STARTERS and head not in GOING_ON else None
+            return None if head in GOING_ON or head in SAYING or PAST.match(head) else (END, end)
         if last_of_line:
             return END, end
         if goes_on:
@@ -203,7 +209,7 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
         return None
     if not plain_case:
         dots = set(mark) <= {".", "…"}
-        if dots and (text[start - 1 : start].isspace() or head in GOING_ON):
+        if dots and (text[start - 1 : start].isspace() or head in JOINING):
             return None
         if not dots and PAST.match(head):
             return None
@@ -235,7 +241,8 @@ def events(text: str, fields: bool) -> tuple[list[int], list[int]]:
             stop = PARAGRAPH.search(text, i)
             checked = stop.end() if stop else len(text) + 1
             piece = text[case_at.begin : checked]
-            plain = not (piece.islower() or piece.isupper())
+            capitals = len(CAPITAL.findall(piece))
+            plain = 0 < capitals < len(piece) / 2 or not capitals and not piece.islower()
             case_at.begin = checked
         return plain
 
