@@ -151,10 +151,10 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     # How often an anchor occurs: the frequent ones are told apart by the counts of hash cells, of which
     # only so many can be large; they are counted by aggregation, the others within their partition.
     cell = F.shiftrightunsigned("anchor", 50)  # 16,384 cells
-    cells = reps.select(F.explode("anchors").alias("anchor")).groupBy(cell.alias("cell")).count()
-    whole = cells.agg(F.sum("count")).first()[0] or 0
+    filled = reps.select(F.explode("anchors").alias("anchor")).groupBy(cell.alias("cell")).count()
+    whole = filled.agg(F.sum("count")).first()[0] or 0
     limit = max(whole / 4096, 1000.0)
-    large = [r["cell"] for r in cells.where(F.col("count") > limit).select("cell").collect()]  # fewer than 4,096
+    large = [r["cell"] for r in filled.where(F.col("count") > limit).select("cell").collect()]  # fewer than 4,096
     by_anchor = Window.partitionBy("anchor")
     common = F.col("cell").isin(large) if large else F.lit(False)
     marked = entries.withColumn("cell", cell)
@@ -175,11 +175,18 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     n_blocks = F.ceil(F.col("df") / F.lit(blocks)).cast("int")
     own = F.when(n_blocks > 1, F.pmod(F.xxhash64("id"), n_blocks)).otherwise(0).cast("int")
     cut = prefix.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), n_blocks - 1))})
-    rows = cut.select("anchor", F.col("id").alias("a"), F.col("n_runs").alias("n_a"), F.col("least").alias("l_a"), F.col("own").alias("i"), F.col("other").alias("j"))
-    columns = cut.select("anchor", F.col("id").alias("b"), F.col("n_runs").alias("n_b"), F.col("least").alias("l_b"), F.col("own").alias("j"), F.col("other").alias("i"))
-    sizes = F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")
-    pairs = rows.join(columns, ["anchor", "i", "j"]).where((F.col("a") < F.col("b")) & sizes)
-    counted = pairs.groupBy("a", "b", F.col("anchor").bitwiseAND(3).alias("tier")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l_a", "l_b")).alias("least"))
+    cells = cut.groupBy("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    product = cells.agg(F.collect_list(F.struct("id", "n_runs", "least", "own")).alias("docs")).where(F.size("docs") > 1)  # two blocks at most
+    rows = product.select("anchor", "i", "j", "docs", F.explode("docs").alias("x"))
+    x = F.col("x")
+
+    def partner(y):
+        sizes = F.least(x["n_runs"], y["n_runs"]) >= F.lit(t) * F.greatest(x["n_runs"], y["n_runs"])
+        return (x["id"] < y["id"]) & sizes & ((F.col("i") == F.col("j")) | (x["own"] != y["own"]))
+
+    pairs = rows.select("anchor", "x", F.explode(F.filter("docs", partner)).alias("y"))
+    pairs = pairs.select("anchor", F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.least", "y.least").alias("least"))
+    counted = pairs.groupBy("a", "b", F.col("anchor").bitwiseAND(3).alias("tier")).agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
     return counted.where("shared >= least").select("a", "b").distinct()
 
 
