@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quarrylight.functions.canonical import canonical_key
+from quarrylight.llm.canonical import canonical_key
 from quarrylight.operators.skew import join_unique_skewed
 from quarrylight.session import Workspace, read_text, write_text_atomic
 
