@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from quarrylight.operators.blocks import arrow_types, keep_best
 from quarrylight.schemas import require
+from quarrylight.session import Workspace
 
 SIMILARITIES = ("cosine", "dot_product")
 #: Bytes of query vectors that one pass over the documents carries; more queries take more passes.
@@ -65,11 +68,6 @@ def _best_of_each(queries: list, matrix: np.ndarray, kind: str, k: int, digits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in queries]  # at most 2k entries each
 
-        def cut(i: int) -> None:
-            best[i].sort(key=lambda x: str(x[1]), reverse=True)
-            best[i].sort(key=lambda x: -x[0])
-            del best[i][k:]
-
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -91,20 +89,15 @@ def _best_of_each(queries: list, matrix: np.ndarray, kind: str, k: int, digits:
                 for i in range(len(queries)):
                     hits = np.flatnonzero(scores[i] >= least[i])
                     best[i].extend((float(scores[i, j]), ids[j]) for j in hits)
-                    cut(i)
+                    keep_best(best[i], k, None)
         rows = [(queries[i], d, s) for i in range(len(queries)) for s, d in best[i]]
         columns = list(zip(*rows, strict=True)) or [[], [], []]
-        arrow = [pa.array(c, type=t) for c, t in zip(columns, _arrow_types(schema), strict=True)]
+        arrow = [pa.array(c, type=t) for c, t in zip(columns, arrow_types(schema), strict=True)]
         yield pa.RecordBatch.from_arrays(arrow, names=names)
 
     return run
 
 
-def _arrow_types(schema: T.StructType) -> list:
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    return [kinds[f.dataType.simpleString()] for f in schema]
-
-
 def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 10, kind: str = "cosine", digits: int | None = 9, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the k most similar documents of every query, exactly.
 
@@ -121,7 +114,8 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 10, kind:
         raise ValueError(f"unknown similarity {kind!r}")
     spark = queries.sparkSession
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", documents.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    best = None
+    space = Workspace(spark, "dense")
+    done: list[DataFrame] = []
     block: list = []
     width = 0
 
@@ -135,12 +129,12 @@ def dense_retrieve(queries: DataFrame, documents: DataFrame, k: int = 10, kind:
             raise ValueError(f"query {row['query_id']!r} has no embedding or one of another dimension")
         width = len(row["embedding"])
         block.append(row)
-        if len(block) * width * 8 >= block_bytes:
-            best, block = scored(block) if best is None else best.unionByName(scored(block)), []
+        if len(block) * width * 8 >= block_bytes:  # one block at a time: the driver holds a single matrix
+            done.append(space.write(top_k(scored(block), k).select("query_id", "id", "score"), f"block-{len(done)}"))
+            block = []
     if block:
-        best = scored(block) if best is None else best.unionByName(scored(block))
-    if best is None:
-        best = spark.createDataFrame([], schema)
+        done.append(scored(block))
+    best = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)
     return top_k(best, k).select("query_id", "rank", "id", "score")
 
 

@@ -8,18 +8,17 @@ so frequent words never make pairs that travel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarrylight.functions.text import words
+from quarrylight.operators.blocks import best_of_partition, query_index
 from quarrylight.operators.dense import top_k
+from quarrylight.session import Workspace
 
 #: Queries that one pass over the documents carries.
 BLOCK_QUERIES = 20_000
-ROWS = 128
 
 
 def term_postings(documents: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
@@ -44,75 +43,28 @@ def bm25_retrieve(queries: DataFrame, documents: DataFrame, k: int = 10, k1: flo
     tokenised = documents.select("id", words(F.col("content")).alias("_words")).where(F.size("_words") > 0)
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("content")))).alias("term"))
     n_docs, length = tokenised.agg(F.count(F.lit(1)), F.avg(F.size("_words"))).first()
+    mean = length or 1.0
     blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
+    space = Workspace(spark, "bm25")
+
+    def terms(tokens: list[str]) -> tuple:
+        counts = Counter(tokens)
+        norm = k1 * (1 - b + b * len(tokens) / mean)
+        return counts.keys(), [tf * (k1 + 1) / (tf + norm) for tf in counts.values()]
+
     best = None
     for i in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        vocabulary = mine.select("term").distinct()
-        seen = tokenised.select(F.explode(F.array_distinct("_words")).alias("term")).join(vocabulary, "term", "left_semi")
-        frequency = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # words of this block's queries
-        ids: list = []
-        of_term: dict[str, list[int]] = {}
-        for r in mine.groupBy("query_id").agg(F.collect_list("term").alias("terms")).collect():  # this block's queries
-            for t in r["terms"]:
-                if t in frequency:
-                    of_term.setdefault(t, []).append(len(ids))
-            ids.append(r["query_id"])
-        index = {t: (np.log(1 + (n_docs - frequency[t] + 0.5) / (frequency[t] + 0.5)), np.array(q, np.int64)) for t, q in of_term.items()}
-        scored = tokenised.mapInArrow(_scorer(ids, index, length or 1.0, k, k1, b, digits, schema), schema)
-        best = scored if best is None else best.unionByName(scored)
-    return top_k(best if best is not None else spark.createDataFrame([], schema), k).select("query_id", "rank", "id", "score")
-
-
-def _scorer(ids: list, index: dict, mean: float, k: int, k1: float, b: float, digits: int, schema: T.StructType):
-    from quarrylight.operators.dense import _arrow_types
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                names = part.column(0).to_pylist()
-                rows, cols, weights = [], [], []
-                for d, tokens in enumerate(part.column(1).to_pylist()):
-                    counts: dict[str, int] = {}
-                    for t in tokens:
-                        if t in index:
-                            counts[t] = counts.get(t, 0) + 1
-                    norm = k1 * (1 - b + b * len(tokens) / mean)
-                    for t, tf in counts.items():
-                        idf, asking = index[t]
-                        cols.append(asking)
-                        rows.append(np.full(len(asking), d))
-                        weights.append(np.full(len(asking), idf * tf * (k1 + 1) / (tf + norm)))
-                if not rows:
-                    continue
-                cell = np.concatenate(cols) * len(names) + np.concatenate(rows)
-                used, place = np.unique(cell, return_inverse=True)
-                scores = np.round(np.bincount(place, np.concatenate(weights)), digits)
-                asking = used // len(names)
-                starts = np.flatnonzero(np.r_[True, asking[1:] != asking[:-1]])
-                for s, e in zip(starts, np.r_[starts[1:], len(asking)], strict=True):
-                    q, mine = int(asking[s]), scores[s:e]
-                    least = -np.partition(-mine, k - 1)[k - 1] if len(mine) > k else -np.inf
-                    kept = best.setdefault(q, [])
-                    kept.extend((float(mine[j]), names[int(used[s + j] % len(names))]) for j in np.flatnonzero(mine >= least))
-                    if len(kept) > 4 * k:
-                        _cut(kept, k)
-        out = []
-        for q, kept in best.items():
-            _cut(kept, k)
-            out += [(ids[q], d, s) for s, d in kept]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, _arrow_types(schema), strict=True)], names=schema.fieldNames())
-
-    return run
-
-
-def _cut(kept: list, k: int) -> None:
-    kept.sort(key=lambda x: str(x[1]), reverse=True)
-    kept.sort(key=lambda x: -x[0])
-    del kept[k:]
+        seen = tokenised.select(F.explode(F.array_distinct("_words")).alias("term")).join(mine.select("term").distinct(), "term", "left_semi")
+        frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        idf = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+        weighted = mine.join(frequency, "term").groupBy("query_id").agg(F.collect_list("term").alias("t"), F.collect_list(idf).alias("w"))
+        ids, index = query_index((r["query_id"], r["t"], r["w"]) for r in weighted.collect())  # this block's queries
+        found = tokenised.mapInArrow(best_of_partition(ids, index, k, digits, schema, terms), schema)
+        if blocks > 1:  # one block at a time: the driver holds a single index
+            found = space.write(top_k(found, k).select("query_id", "id", "score"), f"block-{i}")
+        best = found if best is None else best.unionByName(found)
+    return top_k(best, k).select("query_id", "rank", "id", "score")
 
 
 def bm25_candidates(queries: DataFrame, documents: DataFrame, candidates: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
@@ -133,9 +85,3 @@ def bm25_candidates(queries: DataFrame, documents: DataFrame, candidates: DataFr
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.lit(mean or 1.0)))
     scored = tf.groupBy("query_id", "id").agg(F.round(F.sum(weight), digits).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "id", "score")
-
-
-def first_rank(ranked: DataFrame) -> DataFrame:
-    """(query_id, source, id, rank): each document's first place in each list."""
-    place = Window.partitionBy("query_id", "source", "id").orderBy("rank")
-    return ranked.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")

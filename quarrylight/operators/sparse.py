@@ -1,16 +1,22 @@
 """Learned-sparse vectors: validation, postings, statistics and retrieval.
 
 An index is long: postings (dim, ordinal, weight) and documents (ordinal, id, ...). Scores
-are sums over shared dimensions, by a join on the dimension and a partial aggregation.
+are sums over shared dimensions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from quarrylight.operators.blocks import best_of_partition, query_index
 from quarrylight.schemas import require
 from quarrylight.session import Workspace
 
+#: Queries that one pass over the postings carries.
+BLOCK_QUERIES = 50_000
+
 
 def valid_sparse(vector: Column) -> Column:
     """Whether a struct (indices, values) is a sparse vector: equal lengths, distinct indices from 0, finite values other than 0."""
@@ -68,7 +74,10 @@ def sparse_from_postings(entries: DataFrame) -> DataFrame:
     return both.select("ordinal", F.struct(F.col("e.dim").alias("indices"), F.col("e.weight").alias("values")).alias("sparse"))
 
 
-def sparse_retrieve(queries: DataFrame, entries: DataFrame, documents: DataFrame, k: int = 10, min_score: float = 0.0, candidates: DataFrame | None = None, digits: int | None = 9) -> DataFrame:
+def sparse_retrieve(
+    queries: DataFrame, entries: DataFrame, documents: DataFrame, k: int = 10, min_score: float = 0.0, candidates: DataFrame | None = None,
+    digits: int | None = 9, block: int = BLOCK_QUERIES,
+) -> DataFrame:
     """(query_id, rank, ordinal, id, score): documents by the sum of shared weights.
 
     ``queries`` (query_id, sparse). Kept are scores above ``min_score`` (strictly), the k best
@@ -76,23 +85,43 @@ def sparse_retrieve(queries: DataFrame, entries: DataFrame, documents: DataFrame
     restricts a query to documents whose source document, or id where there is none, is
     listed; a query that has no candidates at all is unrestricted. Negative weights count as
     they are. Invalid query vectors raise on reading.
+
+    Unrestricted queries are the stated set: they travel in blocks, postings of their
+    dimensions are brought together by document once a block, and a partition keeps k rows a
+    query. Restricted ones are joined with their candidates' postings only.
     """
     if k <= 0:
         raise ValueError("top_k must be positive")
     if min_score != min_score or abs(min_score) == float("inf"):
         raise ValueError("min_score must be finite")
-    asked = require(queries, valid_sparse(F.col("sparse")), "invalid sparse query").select("query_id", F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e"))
-    terms = asked.select("query_id", F.col("e.indices").alias("dim"), F.col("e.values").alias("_q"))
-    matched = terms.join(entries, "dim")
-    total = F.sum(F.col("_q") * F.col("weight"))
-    scores = matched.groupBy("query_id", "ordinal").agg((F.round(total, digits) if digits is not None else total).alias("score"))
-    kept = scores.where(F.col("score") > min_score)
+    spark = queries.sparkSession
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("ordinal", T.LongType()), T.StructField("score", T.DoubleType())])
+    asked = require(queries, valid_sparse(F.col("sparse")), "invalid sparse query").select("query_id", "sparse")
     owner = F.coalesce(F.nullif(F.col("source_document_id"), F.lit("")), F.col("id"))
-    named = kept.join(documents.select("ordinal", "id", owner.alias("_owner")), "ordinal")
+    free, parts = asked, []
     if candidates is not None:
         listed = candidates.where("document_id IS NOT NULL").select("query_id", F.col("document_id").alias("_owner")).distinct()
-        restricted = listed.select("query_id").distinct()
-        free = named.join(restricted, "query_id", "left_anti")
-        named = named.join(listed, ["query_id", "_owner"], "left_semi").unionByName(free)
+        free = asked.join(listed.select("query_id").distinct(), "query_id", "left_anti")
+        terms = asked.select("query_id", F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e")).select("query_id", F.col("e.indices").alias("dim"), F.col("e.values").alias("_q"))
+        pairs = listed.join(documents.select("ordinal", owner.alias("_owner")), "_owner").select("query_id", "ordinal")
+        total = F.sum(F.col("_q") * F.col("weight"))
+        summed = pairs.join(entries, "ordinal").join(terms, ["query_id", "dim"]).groupBy("query_id", "ordinal").agg((F.round(total, digits) if digits is not None else total).alias("score"))
+        parts.append(summed.where(F.col("score") > min_score))
+    space = Workspace(spark, "sparse")
+    blocks = max(1, -(-free.count() // block))
+    for i in range(blocks):
+        mine = free.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        ids, index = query_index((r["query_id"], r["sparse"]["indices"], r["sparse"]["values"]) for r in mine.toLocalIterator())  # this block's queries
+        dims = mine.select(F.explode("sparse.indices").alias("dim")).distinct()
+        vectors = entries.join(dims, "dim", "left_semi").groupBy("ordinal").agg(F.collect_list("dim").alias("d"), F.collect_list("weight").alias("w"))
+        run = best_of_partition(ids, index, k, digits, schema, lambda d, w: (d, w), min_score, lambda ordinal: ordinal)
+        found = vectors.mapInArrow(run, schema)
+        parts.append(space.write(_best(found, k), f"block-{i}") if blocks > 1 else found)
+    best = _best(reduce(DataFrame.unionByName, parts), k)
+    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ordinal"))
+    return best.withColumn("rank", F.row_number().over(place)).join(documents.select("ordinal", "id"), "ordinal").select("query_id", "rank", "ordinal", "id", "score")
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ordinal"))
-    return named.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "ordinal", "id", "score")
+    return scored.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n")

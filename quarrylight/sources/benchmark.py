@@ -45,7 +45,8 @@ def benchmark_qrels(spark: SparkSession, path: str) -> DataFrame:
     columns are; without one, four and more columns are need, ignored, document, label, and
     three are need, document, label. Blank lines are skipped.
     """
-    lines = read_lines(spark, path).select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("_line"))  # order within a file only
+    order = ("_file", "_start", "_line")  # the splits of a file by their place, the lines of a split as read
+    lines = read_lines(spark, path).select(F.split("value", "\t").alias("c"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
     first = next(iter(spark.read.text(path).where(F.trim("value") != "").limit(1).collect()), None)
     names = [n.strip() for n in first["value"].split("\t")] if first else []
     if "query-id" in names and "corpus-id" in names:
@@ -55,8 +56,8 @@ def benchmark_qrels(spark: SparkSession, path: str) -> DataFrame:
     else:
         rows, wide = lines, F.size("c") >= 4
         cell = [F.element_at("c", 1), F.when(wide, F.element_at("c", 3)).otherwise(F.element_at("c", 2)), F.when(wide, F.element_at("c", 4)).otherwise(F.element_at("c", 3))]
-    found = rows.select(*[F.trim(c).alias(n) for c, n in zip(cell, ("IN", "document_id", "label"), strict=True)], "_line")
-    return with_ordinal(found.withColumn("label", F.col("label").cast("int")), "_line", name="pos").drop("_line")
+    found = rows.select(*[F.trim(c).alias(n) for c, n in zip(cell, ("IN", "document_id", "label"), strict=True)], *order)
+    return with_ordinal(found.withColumn("label", F.col("label").cast("int")), *order, name="pos").drop(*order)
 
 
 def prepare_benchmark(spark: SparkSession, source: str, target: str, dataset: str, split: str = "test", max_documents: int | None = None, max_queries: int | None = None) -> dict[str, int]:

@@ -73,6 +73,8 @@ def test_sparse(spark):
     some = spark.createDataFrame([("q", "doc-3"), ("q", "doc-2")], "query_id STRING, document_id STRING")
     assert [r.id for r in sparse.sparse_retrieve(q, entries, docs, candidates=some).orderBy("rank").collect()] == ["chunk-3", "doc-2"]
     assert sparse.sparse_retrieve(q, entries, docs, candidates=some.limit(0)).count() == 3
+    more = q.union(q.withColumn("query_id", F.lit("p"))).union(q.withColumn("query_id", F.lit("r")))
+    assert [(r.query_id, r.id) for r in sparse.sparse_retrieve(more, entries, docs, 1, block=1).orderBy("query_id").collect()] == [("p", "doc-1"), ("q", "doc-1"), ("r", "doc-1")]
     assert {r.ordinal: (r.sparse["indices"], r.sparse["values"]) for r in sparse.sparse_from_postings(entries).collect()}[2] == ([0, 3], [1.0, 1.0])
     for bad in (([0, 0], [1.0, 1.0]), ([-1], [1.0]), ([1], [0.0]), ([1], [float("nan")]), ([1, 2], [1.0])):
         with pytest.raises(Exception, match="invalid sparse"):
