@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from quarrylight.operators.skew import heavy_keys_of, salted
 from quarrylight.session import Workspace
 
 FOREVER = "9999-12-31 00:00:00"
@@ -72,19 +73,27 @@ def _presence(parents: DataFrame, salts: int) -> DataFrame:
 
 
 def _unmatched(reference: Reference, children: DataFrame, parents: DataFrame, salts: int) -> DataFrame:
-    """Keys of the child rows (``row_key``, ``_key``, ``_time``) that no parent row answers."""
+    """The child rows (``row_key``, ``_key``, ``_time``) that no parent row answers; hot keys are salted."""
+    heavy = heavy_keys_of(children, "_key")
+
+    def without(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame:
+        a, b = salted(left, right, "_key", heavy, F.col("row_key"), salts)
+        b = b.withColumnsRenamed({"_key": "_parent_key", "_salt": "_parent_salt"})
+        met = (F.col("_key") == F.col("_parent_key")) & (F.col("_salt") == F.col("_parent_salt"))
+        for c in conditions:
+            met &= c
+        return a.join(b, met, "left_anti").select(*left.columns)
+
     known = parents.select("_key").distinct()
     if reference.child_time is None:
-        return children.join(known, "_key", "left_anti")
-    untimed = children.where("_time IS NULL").join(known, "_key", "left_anti")
+        return without(children, known)
+    untimed = without(children.where("_time IS NULL"), known)
     timed = children.where("_time IS NOT NULL")
     if reference.present_until is None:
-        first = parents.groupBy("_key").agg(F.min("_from").alias("_from"))
-        found = timed.join(first, "_key", "left").where("_from IS NULL OR _from > _time").select(*children.columns)
+        first = parents.where("_from IS NOT NULL").groupBy("_key").agg(F.min("_from").alias("_from"))
+        found = without(timed, first, F.col("_from") <= F.col("_time"))
     else:
-        periods = _presence(parents, salts).withColumnRenamed("_key", "_parent_key")
-        hit = (F.col("_key") == F.col("_parent_key")) & (F.col("_from") <= F.col("_time")) & (F.col("_time") < F.col("_until"))
-        found = timed.join(periods, hit, "left_anti")
+        found = without(timed, _presence(parents, salts), F.col("_from") <= F.col("_time"), F.col("_time") < F.col("_until"))
     return found.unionByName(untimed)
 
 

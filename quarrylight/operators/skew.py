@@ -33,3 +33,28 @@ def join_unique_skewed(
     hot = marked.where(F.col("_heavy_key").isNotNull()).drop("_heavy_key").join(F.broadcast(heavy), key)
     rest = marked.where(F.col("_heavy_key").isNull()).drop("_heavy_key").join(right, key, how)
     return hot.unionByName(rest)
+
+
+#: Keys of more rows than this are spread over salts.
+HEAVY_ROWS = 1_000_000
+
+
+def heavy_keys_of(df: DataFrame, key: str, rows: int = HEAVY_ROWS, most: int = HEAVY_KEYS) -> list:
+    """The keys of over ``rows`` rows, heaviest first, ``most`` at most; one aggregation."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+    return [r[key] for r in counts.orderBy(F.col("n").desc(), key).limit(most).collect()]
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, heavy: list, spread: Column, salts: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_salt`` to join on beside ``key``, whatever the kind of join.
+
+    Rows of ``left`` with a heavy key get one of ``salts`` salts by the hash of ``spread``;
+    rows of ``right`` with such a key are repeated for every salt. All others have salt 0. So
+    each row of ``left`` meets exactly the rows of ``right`` that it would meet without.
+    """
+    if not heavy:
+        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    a = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    each = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return a, right.withColumn("_salt", F.explode(each))

@@ -87,3 +87,13 @@ def test_hot_key_merges_into_few_periods(spark):
     got = orphan_cascade(spark, tables(spark, docs, rels, []), KEYS, REFS[:1]).collect()
     brute = [r[0] for r in rels if not any(d[2] <= r[3] and (d[3] is None or d[3] > r[3]) for d in docs)]
     assert sorted(r.row_key for r in got) == brute
+
+
+def test_salted_keys_change_nothing(spark, monkeypatch):
+    from quarrylight.operators import references, skew
+
+    docs = [(i, f"k{i % 3}", day(1 + i % 20), None if i % 3 else day(2 + i % 20), None, None) for i in range(60)]
+    rels = [(i, "n", f"k{i % 5}", day(1 + i % 28) if i % 7 else None, 0) for i in range(200)]
+    plain = found(orphan_cascade(spark, tables(spark, docs, rels, []), KEYS, REFS[:1]))
+    monkeypatch.setattr(references, "heavy_keys_of", lambda df, key: skew.heavy_keys_of(df, key, rows=10))
+    assert found(orphan_cascade(spark, tables(spark, docs, rels, []), KEYS, REFS[:1])) == plain and plain
