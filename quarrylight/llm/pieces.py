@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 #: Punctuation that counts as a natural boundary beside white space; fixed by the problem.
 BOUNDARY_MARKS = ".!?;:,。！？；：，、"
 SOLID = re.compile(rf"[^\s{re.escape(BOUNDARY_MARKS)}]+")
-_LINE = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
+_LINE = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
 
 #: How a node of each level is cut into its children, from coarse to fine. A pattern matches
 #: the end of a child (with the white space after it).

@@ -58,23 +58,26 @@ PAST = re.compile(r"(?:\w{3,}ed|rebuilt|built|overwrote|wrote|began|became|came|
 
 END_MARKS = ".!?…。！？｡।॥؟۔։።။។‼⁇⁈⁉"
 CLOSERS = "\"'”“’»›)]}」』）】〉》〕"
-LINE = "\n\r\x0b\x0c\x85  "
+LINE = "\n\r\x0b\x0c\x85\u2028\u2029"
 EVENT = re.compile(
     rf"(?P<line>(?:\r\n|[{LINE}])\s*)"
     r"|(?P<skip>`[^`\n]{0,300}`|\d[\d.,:]*\d)"
     rf"|(?P<mark>[{re.escape(END_MARKS)}]+)"
-    r"|(?P<greek>(?<=[Ͱ-Ͽἀ-῿̀-ͯ])[;;])"
-    r"|(?P<thai>(?<=[฀-๿])[ \t\xa0 - 　]+)"
+    r"|(?P<greek>[;\u037e])"
+    r"|(?P<thai>(?<=[\u0e00-\u0e7f])[ \t\xa0\u2000-\u200a\u3000]+)"
     r"|(?P<quote>[\"“”„«»‹›「」『』（）()\[\]【】《》〈〉])"
 )
 BREAKS = re.compile(rf"\r\n|[{LINE}]")
-MARKER = re.compile(r"(?:[-*+•‣◦▪·–]|\(?\d{1,3}\)|\(?[A-Za-z]\)|\d{1,3}\.)[ \t\xa0　]")
+#: A German ordinal number after its article.
+ORDINAL = re.compile(r"(?i)\b(?:am|im|der|die|das|dem|den|des|vom|zum|beim)\s\d{1,2}$")
+MARKER = re.compile(r"(?:[-*+•‣◦▪·–]|\(?\d{1,3}\)|\(?[A-Za-z]\)|\d{1,3}\.)[ \t\xa0\u3000]")
 DOTTED = re.compile(r"\d{1,3}\.[ \t]")
-AFTER = re.compile(rf"(?:[ \xa0 ]?[»›]|[{re.escape(CLOSERS)}])*")
+AFTER = re.compile(rf"(?:[ \xa0\u202f]?[»›]|[{re.escape(CLOSERS)}])*")
 WORD = re.compile(r"[^\W\d_][\w'’]*")
 TOKEN = re.compile(r"[^\s(\[\"“„«‘’`—–/]*$")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞΆΈ-ΏΑ-ΫЀ-Я]")
 SPACE = re.compile(r"[^\S" + LINE + "]*")
+BRACKETS = set(")]}）】")
 OPENING, CLOSING = set("„«‹「『（([【《〈"), set("»›」』）)]】》〉")
 
 # Symbols of the transducer.
@@ -166,7 +169,7 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
             return None
         if low in NUMBERED and numbered:
             return None
-        if low.isdigit() and head in MONTHS:
+        if low.isdigit() and (head in MONTHS or len(low) < 3 and ORDINAL.search(text, max(0, start - 12), start)):
             return None
         if MARKER.match(text, start - len(before)) and DOTTED.match(text, start - len(before)) and text[max(0, start - len(before) - 64) : start - len(before)].rstrip(" \t")[-1:] in ("", *LINE):
             return None  # a list's number
@@ -195,6 +198,8 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
         return END, end
     if goes_on:
         return None
+    if closed and set(text[end:after]) & BRACKETS:  # a remark in brackets only ends with them what it began
+        return (MAY_CLOSED if closed == 1 else MAY_CLOSED_2), after
     if last_of_line:
         return (END, end) if not closed else (ENDS_CLOSED if closed == 1 else ENDS_CLOSED_2, after)
     if closed:
@@ -261,16 +266,17 @@ def events(text: str, fields: bool) -> tuple[list[int], list[int]]:
             elif MARKER.match(text, end) and not _wrapped_number(text, start, end):
                 symbols.append(BREAK)
                 ends.append(start)
-            elif "฀" <= text[start - 1 : start] <= "๿":
+            elif "\u0e00" <= text[start - 1 : start] <= "\u0e7f":
                 symbols.append(END)
                 ends.append(start)
         elif kind == "thai":
             if end < len(text) and text[end] not in LINE:
                 symbols.append(END)
                 ends.append(start)
-        elif kind == "greek":
-            symbols.append(END)
-            ends.append(end)
+        elif kind == "greek":  # the question mark of Greek
+            if text[start] == "\u037e" or _greek(text, start):
+                symbols.append(END)
+                ends.append(end)
         elif kind == "quote":
             c = text[start]
             before, nxt = text[start - 1 : start], text[end : end + 1]
@@ -307,6 +313,15 @@ def _closes(text: str, c: str, at: int) -> bool:
     return any(p in near for p in PARTNER[c])
 
 
+GREEK = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
+
+
+def _greek(text: str, at: int) -> bool:
+    """Whether a semicolon follows Greek: a letter before it, or mostly Greek letters before a foreign name."""
+    near = text[max(0, at - 60) : at]
+    return bool(GREEK.match(near.rstrip("\u0301\u0308")[-1:])) or len(GREEK.findall(near)) > 20
+
+
 def _after_marker(text: str, at: int) -> bool:
     begin = max(text.rfind(x, max(0, at - 12), at) for x in "\n\r") + 1
     return (begin > 0 or at < 12) and bool(re.fullmatch(MARKER.pattern + r"\s*", text[begin:at]))

@@ -48,6 +48,11 @@ def test_units_without_spaces_and_other_rules():
     assert cut("the need (see eq. 25.) came back.the queue drained. it did!") == ["the need (see eq. 25.) came back.", "the queue drained.", "it did!"]
     assert cut("a: 1\nb: 2", True) == ["a: 1", "b: 2"]
     assert cut("The team behind Bo! padded it. It held.The rest too.") == ["The team behind Bo! padded it.", "It held.", "The rest too."]
+    assert cut("It fell (see Eq. 25.) Bo kept it. (All of it.) Then it rose.") == ["It fell (see Eq. 25.) Bo kept it.", "(All of it.)", "Then it rose."]
+    assert cut("Γιατί η κρυφή στάθμη κλειδώνει το Filter; Η τιμή;") == ["Γιατί η κρυφή στάθμη κλειδώνει το Filter;", "Η τιμή;"]
+    assert cut("a; b.") == ["a; b."]
+    assert cut("Im 2. Lauf und am 3. Mai fiel es. Es stieg auf 12. Dann nicht.") == ["Im 2. Lauf und am 3. Mai fiel es.", "Es stieg auf 12.", "Dann nicht."]
+    assert cut("it ended at 2:42 p.m. see a.log. bo kept them, etc. were lost. li et al. padded it…the rest fell.")[:2] == ["it ended at 2:42 p.m.", "see a.log."]
     assert cut(" \n \t") == [] and cut("") == [] and sentences.units(None) == []
     long = "One two. " * 30_000
     assert len(cut(long)) == 30_000
@@ -79,6 +84,8 @@ def test_pieces_keep_structure(spark):
     text = "# One\n" + "First part. " * 5 + "\n\n# Two\n" + "Second part. " * 5
     got = pieces.split_text(text, 90, 10)
     assert got[0][1] == text.index("# Two") and got[0][2] == "section"
+    assert [k for *_, k in pieces.split_text("One two three four. Five six  seven eight. Nine ten.", 30, 0)] == ["sentence", "sentence", "end"]
+    assert [k for *_, k in pieces.split_text("one two three four five six seven", 12, 2)][:2] == ["word", "word"]
     rows = [(1, text, 0), (2, None, 0), (3, "", 0), (4, "x" * 300, 0), (5, "short", 0), (1, text, 0)]
     df = spark.createDataFrame(rows, "doc_id BIGINT, content STRING, piece_no INT")
     out = pieces.split_documents(df, "doc_id", "content", 90, 10).collect()
