@@ -55,6 +55,8 @@ class Setting:
     spare: float = 0.2
     #: Documents in one block of an anchor's list.
     block: int = 256
+    #: Anchors of cells of more entries than this (and than a 4096th of all) are counted by aggregation.
+    heavy: int = 200_000
 
 
 def reduce_text(text: str) -> str:
@@ -153,15 +155,16 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     cell = F.shiftrightunsigned("anchor", 50)  # 16,384 cells
     filled = reps.select(F.explode("anchors").alias("anchor")).groupBy(cell.alias("cell")).count()
     whole = filled.agg(F.sum("count")).first()[0] or 0
-    limit = max(whole / 4096, 1000.0)
+    limit = max(whole / 4096, float(setting.heavy))
     large = [r["cell"] for r in filled.where(F.col("count") > limit).select("cell").collect()]  # fewer than 4,096
     by_anchor = Window.partitionBy("anchor")
-    common = F.col("cell").isin(large) if large else F.lit(False)
-    marked = entries.withColumn("cell", cell)
-    few = marked.where(~common).drop("cell").withColumn("df", F.count(F.lit(1)).over(by_anchor))
-    many = marked.where(common).drop("cell")
-    counts = many.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
-    several = few.where("df > 1").unionByName(join_unique_skewed(many, counts.where("df > 1"), "anchor", F.col("df")))
+    if large:
+        common, marked = F.col("cell").isin(large), entries.withColumn("cell", cell)
+        few, many = marked.where(~common).drop("cell"), space.write(marked.where(common).drop("cell"), "many")
+        counts = space.write(many.groupBy("anchor").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+        several = join_unique_skewed(many, counts, "anchor", F.col("df")).unionByName(few.withColumn("df", F.count(F.lit(1)).over(by_anchor)).where("df > 1"))
+    else:
+        several = entries.withColumn("df", F.count(F.lit(1)).over(by_anchor)).where("df > 1")
     # The most frequent anchors of a document are spared, in one order for all; ``least`` is what a pair has to share.
     tier = F.col("anchor").bitwiseAND(3)
     own_size = F.element_at("sizes", (tier + 1).cast("int"))

@@ -100,7 +100,8 @@ def words(rng, n):
     return ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(n)]
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("heavy", [200_000, 5])
+def test_near_duplicates_against_brute_force(spark, heavy):
     rng = random.Random(5)
     base = words(rng, 60)
     rows = []
@@ -116,7 +117,7 @@ def test_near_duplicates_against_brute_force(spark):
             rows.append((len(rows) * 7 % 1009, " ".join(w)))
     rows += [(2000, rows[0][1].upper() + "!!"), (2001, rows[0][1]), (2002, None), (2003, ""), (2004, "short"), (2005, "exactlytwelv"), (2006, "Exactly Twelv")]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id BIGINT, content STRING, id STRING")
-    members, links = nd.near_duplicates(spark, df, "doc_id", "content", nd.Setting(block=4))
+    members, links = nd.near_duplicates(spark, df, "doc_id", "content", nd.Setting(block=4, heavy=heavy))
     texts = {k: nd.reduce_text(t) for k, t in rows if t and len(nd.reduce_text(t)) >= 12}
     least: dict = {}
     for k, t in texts.items():
