@@ -51,10 +51,11 @@ STARTERS = set(
 JOINING = set("and or but nor then yet und oder et y o и или και ή".split())
 #: Of the abbreviations above, those that go on unless a word that begins sentences follows.
 MIDDLE = set("al usw usf т.д т.п др пр κ.λπ κ.ά inc ltd co corp jr u.s u.k".split())
+HELPING = set("were was is are has have had will would can could may might must".split())
 GOING_ON = set("and or but nor then yet for with without on in at as by against beyond only whenever while because inside between until despite once during across when under long before after "
                "were was is are had has und oder et y o и или και ή mit ohne bei".split())
 SAYING = set("and asked said wrote says asks added replied noted schrieb sagte fragte note notait dit anota dijo écrit écrivit отметили сказал сказали написал και y et und и".split())
-PAST = re.compile(r"(?:\w{3,}ed|rebuilt|built|overwrote|wrote|began|became|came|cut|did|drew|fell|found|gave|got|grew|held|kept|knew|led|left|lost|made|met|put|ran|read|rose|said|saw|sent|set|shrank|shut|split|spread|stood|swept|took|threw|told|went|won)$")
+PAST = re.compile(r"(?:\w{3,}ed|rebuilt|built|overwrote|wrote|began|became|came|drew|fell|found|gave|got|grew|held|kept|knew|led|left|lost|made|met|ran|rose|said|saw|sent|shrank|stood|swept|took|threw|told|went|won)$")
 
 END_MARKS = ".!?…。！？｡।॥؟۔։።။។‼⁇⁈⁉"
 CLOSERS = "\"'”“’»›)]}」』）】〉》〕"
@@ -148,7 +149,8 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
             return None
         if plain_case:
             return (END, end) if head[0].isupper() and (len(head) == 1 or not head.isupper()) and not before[-1].isupper() or _scriptless(head[0]) else None
-        return (END, end) if head.lower() in STARTERS else None
+        alone = len(before) > 3 and len(head) > 3 and before.isalpha() and text[end + len(head) : end + len(head) + 1].isspace()
+        return (END, end) if head.lower() in STARTERS or alone else None  # not a name of parts
     if not latin:
         if closed and nxt.isalnum():
             return None
@@ -188,7 +190,8 @@ def _mark(text: str, start: int, end: int, plain_case: bool) -> tuple[int, int]
                 return None if lower else (END, end)
             if low in MIDDLE:
                 return (END, end) if head in STARTERS and head not in GOING_ON else None
-            return None if head in GOING_ON or head in SAYING or PAST.match(head) else (END, end)
+            going_on = head in GOING_ON if low.endswith(".m") else head in JOINING or head in HELPING
+            return None if going_on or head in SAYING or PAST.match(head) else (END, end)
         if last_of_line:
             return END, end
         if goes_on:

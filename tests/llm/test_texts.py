@@ -46,6 +46,9 @@ def test_units_without_spaces_and_other_rules():
     assert cut("Sampler 40: บันทึก") == ["Sampler 40: บันทึก"]
     assert cut("A heading\r\n\r\n- one\r\n- two. Three\r\nfour.\r\n") == ["A heading", "- one", "- two.", "Three\r\nfour."]
     assert cut("the need (see eq. 25.) came back.the queue drained. it did!") == ["the need (see eq. 25.) came back.", "the queue drained.", "it did!"]
+    assert cut("see kestbalor.log for it.dunbapryn kept a.b.") == ["see kestbalor.log for it.dunbapryn kept a.b."]
+    assert cut("see kestbalor.log unchanged.dunbapryn kept it.") == ["see kestbalor.log unchanged.", "dunbapryn kept it."]
+    assert cut("the need (see eq. 25.) came back.the queue drained. it did!") == ["the need (see eq. 25.) came back.", "the queue drained.", "it did!"]
     assert cut("a: 1\nb: 2", True) == ["a: 1", "b: 2"]
     assert cut("The team behind Bo! padded it. It held.The rest too.") == ["The team behind Bo! padded it.", "It held.", "The rest too."]
     assert cut("It fell (see Eq. 25.) Bo kept it. (All of it.) Then it rose.") == ["It fell (see Eq. 25.) Bo kept it.", "(All of it.)", "Then it rose."]
