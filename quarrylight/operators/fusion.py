@@ -50,14 +50,14 @@ def score_fusion(ranked: DataFrame, weights: dict[str, float], missing_score: fl
     rows = _weighted(ranked, weights).withColumn("_score", F.coalesce(F.col("score").cast("double"), F.lit(float(missing_score))))
     amount = F.col("_score")
     if normalize != "none":
-        lists = Window.partitionBy("query_id", "source")
-        low, high = F.min("_score").over(lists), F.max("_score").over(lists)
-        rows = rows.withColumns({"_low": low, "_high": high})
+        stats = rows.groupBy(F.col("query_id").alias("_q"), F.col("source").alias("_s")).agg(
+            F.min("_score").alias("_low"), F.max("_score").alias("_high"), F.avg("_score").alias("_mean"), F.stddev_pop("_score").alias("_dev")
+        )
+        rows = rows.join(stats, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("source") == F.col("_s")))
         constant = F.col("_low") == F.col("_high")
         if normalize == "minmax":
             amount = F.when(constant, F.lit(1.0)).otherwise((amount - F.col("_low")) / (F.col("_high") - F.col("_low")))
         else:
-            rows = rows.withColumns({"_mean": F.avg("_score").over(lists), "_dev": F.stddev_pop("_score").over(lists)})
             amount = F.when(constant | (F.col("_dev") == 0), F.lit(0.0)).otherwise((amount - F.col("_mean")) / F.col("_dev"))
     return _fuse(rows, F.col("_weight") * amount, payload or [])
 
