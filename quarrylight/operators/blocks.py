@@ -8,14 +8,14 @@ partition gives at most k rows a query, whatever the lengths of posting lists ar
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
 #: Documents whose matches are added up together.
-ROWS = 128
-Index = dict[Hashable, tuple[np.ndarray, np.ndarray]]
+ROWS = 256
 
 
 def arrow_types(schema: T.StructType) -> list:
@@ -34,6 +34,17 @@ def keep_best(kept: list, k: int, tie: Callable | None) -> None:
     del kept[k:]
 
 
+@dataclass(frozen=True)
+class Index:
+    """Posting lists of a block's queries: key -> a stretch of query numbers and weights."""
+
+    number: dict[Hashable, int]
+    start: np.ndarray
+    length: np.ndarray
+    queries: np.ndarray
+    weights: np.ndarray
+
+
 def query_index(queries: Iterable[tuple[Hashable, Iterable, Iterable]]) -> tuple[list, Index]:
     """(ids, index) of queries given as (id, keys, weights)."""
     ids: list = []
@@ -44,7 +55,9 @@ def query_index(queries: Iterable[tuple[Hashable, Iterable, Iterable]]) -> tuple
             at.append(len(ids))
             values.append(w)
         ids.append(q)
-    return ids, {key: (np.array(a, np.int64), np.array(w, np.float64)) for key, (a, w) in lists.items()}
+    length = np.array([len(a) for a, _ in lists.values()], np.int64)
+    flat = lambda i, kind: np.array([x for pair in lists.values() for x in pair[i]], kind)
+    return ids, Index({key: i for i, key in enumerate(lists)}, np.cumsum(length) - length, length, flat(0, np.int64), flat(1, np.float64))
 
 
 def best_of_partition(ids: list, index: Index, k: int, digits: int | None, schema: T.StructType, terms: Callable, least: float = -np.inf, tie: Callable | None = None):
@@ -60,19 +73,24 @@ def best_of_partition(ids: list, index: Index, k: int, digits: int | None, schem
             for at in range(0, batch.num_rows, ROWS):
                 columns = [c.to_pylist() for c in batch.slice(at, ROWS).columns]
                 names = columns[0]
-                rows, cols, weights = [], [], []
+                numbers, rows, weights = [], [], []
                 for d, cells in enumerate(zip(*columns[1:], strict=True)):
                     for key, w in zip(*terms(*cells), strict=True):
-                        found = index.get(key)
-                        if found is not None:
-                            cols.append(found[0])
-                            weights.append(found[1] * w)
-                            rows.append(np.full(len(found[0]), d))
+                        n = index.number.get(key)
+                        if n is not None:
+                            numbers.append(n)
+                            rows.append(d)
+                            weights.append(w)
                 if not rows:
                     continue
-                cell = np.concatenate(cols) * len(names) + np.concatenate(rows)
+                found = np.array(numbers)
+                sizes = index.length[found]
+                ends = np.cumsum(sizes)
+                take = np.arange(ends[-1]) + np.repeat(index.start[found] - ends + sizes, sizes)
+                cell = index.queries[take] * len(names) + np.repeat(rows, sizes)
+                amounts = index.weights[take] * np.repeat(weights, sizes)
                 used, place = np.unique(cell, return_inverse=True)
-                scores = np.bincount(place, np.concatenate(weights))
+                scores = np.bincount(place, amounts)
                 if digits is not None:
                     scores = np.round(scores, digits) + 0.0
                 wanted = scores > least
