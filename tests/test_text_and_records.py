@@ -13,14 +13,14 @@ from quarrylight.sources import records
 
 
 def test_transform_order(spark):
-    df = spark.createDataFrame([("q", "  HYDRA\nCONFIG  ", "n")], "id STRING, content STRING, IN STRING")
+    df = spark.createDataFrame([("q", "  DENSE\nINDEX  ", "n")], "id STRING, content STRING, IN STRING")
     got = text.preprocess(df, prefix="query: ", lowercase=True, replace={r"\s+": " "}).first()
-    assert (got.content, got.IN) == ("query: hydra config", "n")
-    assert text.preprocess(df, replace={r"(H)Y": r"$\1"}, suffix="!").first().content == "$HDRA\nCONFIG!"
+    assert (got.content, got.IN) == ("query: dense index", "n")
+    assert text.preprocess(df, replace={r"(D)E": r"$\1"}, suffix="!").first().content == "$DNSE\nINDEX!"
     with pytest.raises(Exception, match="null content of q"):
         text.preprocess(df.withColumn("content", F.lit(None).cast("string"))).collect()
     assert text.repeat_query(df.withColumn("content", F.lit("a"))).first().content == "a a"
-    assert text.query_text(df).columns == ["text"] and text.identity_parse(df).first().content == "  HYDRA\nCONFIG  "
+    assert text.query_text(df).columns == ["text"] and text.identity_parse(df).first().content == "  DENSE\nINDEX  "
 
 
 def test_unicode_rules(spark):
