@@ -16,7 +16,7 @@ def test_transform_order(spark):
     df = spark.createDataFrame([("q", "  DENSE\nINDEX  ", "n")], "id STRING, content STRING, IN STRING")
     got = text.preprocess(df, prefix="query: ", lowercase=True, replace={r"\s+": " "}).first()
     assert (got.content, got.IN) == ("query: dense index", "n")
-    assert text.preprocess(df, replace={r"(D)E": r"$\1"}, suffix="!").first().content == "$DNSE\nINDEX!"
+    assert text.preprocess(df, replace={r"(D)E": r"$\1"}, suffix="!").first().content == "$DNSE\nIN$DX!"
     with pytest.raises(Exception, match="null content of q"):
         text.preprocess(df.withColumn("content", F.lit(None).cast("string"))).collect()
     assert text.repeat_query(df.withColumn("content", F.lit("a"))).first().content == "a a"
