@@ -174,7 +174,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "id", F.round("score", 6).alias("score"))
+    return df.select("query_id", "id", F.round("score", 8).alias("score"))
 
 
 def fuse_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:

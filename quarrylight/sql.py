@@ -54,7 +54,7 @@ _W = "(VALUES ('dense-baseline', 1.0::DOUBLE), ('dense-repeated', 0.5), ('sparse
 def _fuse(amount: str, weights: str = _W, missing: float = 0.0) -> str:
     return f"""WITH r AS (SELECT query_id, run_id, rank, id, weight, coalesce(score, {missing}::DOUBLE) AS s FROM predictions JOIN {weights} USING (run_id)),
     n AS (SELECT *, min(s) OVER l AS lo, max(s) OVER l AS hi, avg(s) OVER l AS mean, stddev_pop(s) OVER l AS dev FROM r WINDOW l AS (PARTITION BY query_id, run_id))
-    SELECT query_id, id, round(sum(weight * ({amount})), 6) AS score FROM n GROUP BY query_id, id"""
+    SELECT query_id, id, round(sum(weight * ({amount})), 8) AS score FROM n GROUP BY query_id, id"""
 
 
 _MINMAX = "CASE WHEN lo = hi THEN 1.0 ELSE (s - lo) / (hi - lo) END"
