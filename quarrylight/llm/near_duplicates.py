@@ -21,7 +21,9 @@ transpose counts the runs that two documents share. It isn't formed over all run
   share less than ``common - spare`` of the smaller one's anchors, or whose sizes alone rule
   out the threshold.
 
-What remains is compared exactly, over all runs of both whole texts.
+What remains is compared exactly, over all runs of both whole texts. ``Setting.exact()``
+takes all runs as anchors and leaves out only what cannot matter, for those who need every
+pair whatever the pattern of its edits.
 """
 
 from __future__ import annotations
@@ -58,37 +60,66 @@ class Setting:
     #: Anchors of cells of more entries than this (and than a 4096th of all) are counted by aggregation.
     heavy: int = 200_000
 
+    @classmethod
+    def exact(cls, width: int = 12, threshold: float = 0.6) -> Setting:
+        """Loses no pair: every run is an anchor, and only what the threshold itself allows is left out.
+
+        Two texts of that similarity share at least ``threshold`` of the larger one's runs, so
+        if each leaves out less than that of its most frequent runs, in one order for all, a
+        shared one remains. The prefix holds over 40 % of all runs instead of a tenth of them
+        as anchors: several times the shuffle and disk of the default setting.
+        """
+        return cls(width, threshold, ((0, width, 1),), common=threshold, spare=threshold - 0.01)
+
 
 def reduce_text(text: str) -> str:
     """Lower-cased letters, digits and marks; final sigma counts as sigma."""
     return NOT_WORD.sub("", text.lower()).replace("ς", "σ")
 
 
-def run_hashes(text: str, width: int) -> np.ndarray:
-    """The 64-bit hash of every run of ``width`` characters, in order."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(width):
-        h *= _A
-        h += codes[j : j + n]
-    h ^= h >> np.uint64(30)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(30))
     h *= _B
     h ^= h >> np.uint64(27)
     h *= _C
     return h ^ (h >> np.uint64(31))
 
 
-def _sparse_runs(text: str, length: int, window: int) -> np.ndarray:
-    """The hashes of runs that are the least of some ``window`` neighbours; of all if there are fewer."""
-    h = run_hashes(text, length)
-    if window == 1 or not len(h):
-        return h
-    if len(h) <= window:
-        return h.min(keepdims=True)
-    # Sliding minimum by doubling: least of 1, 2, 4, ... neighbours, then two overlapping ones.
+class Runs:
+    """Hashes of all runs of some lengths over a sequence of code points.
+
+    A run's hash is a polynomial in its code points, so that of a long run follows from those
+    of its two parts: a length takes one step per binary digit, and lengths share their parts.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self._raw = {1: codes.astype(np.uint64)}
+
+    def _polynomial(self, length: int) -> np.ndarray:
+        if length not in self._raw:
+            head = max((k for k in self._raw if 2 * k >= length and k < length), default=(length + 1) // 2)
+            tail = length - head
+            first, second = self._polynomial(head), self._polynomial(tail)
+            n = max(len(self._raw[1]) - length + 1, 0)
+            factor = np.uint64(pow(int(_A), tail, 1 << 64))
+            self._raw[length] = first[:n] * factor + second[head : head + n]
+        return self._raw[length]
+
+    def hashes(self, length: int) -> np.ndarray:
+        return _mixed(self._polynomial(length))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def run_hashes(text: str, width: int) -> np.ndarray:
+    """The 64-bit hash of every run of ``width`` characters, in order."""
+    return Runs(code_points(text)).hashes(width)
+
+
+def _sliding_least(h: np.ndarray, window: int) -> np.ndarray:
+    """The least of every ``window`` neighbours, by doubling: of 1, 2, 4, ..., then of two that overlap."""
     size, least = 1, h
     while size * 2 <= window:
         least = np.minimum(least[:-size], least[size:])
@@ -98,17 +129,54 @@ def _sparse_runs(text: str, length: int, window: int) -> np.ndarray:
     return least
 
 
-def anchors(text: str, n_runs: int, setting: Setting) -> list[np.ndarray]:
-    """The distinct anchors of a reduced text in each tier; their lowest two bits are the tier."""
-    out = []
-    for tier, (least, length, window) in enumerate(setting.tiers):
-        end = setting.tiers[tier + 1][0] if tier + 1 < len(setting.tiers) else np.inf
-        if least <= n_runs < end / setting.threshold:
-            found = _sparse_runs(text, length, window)
-            out.append(np.unique(found & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(tier))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+class Described:
+    """Numbers of runs and anchors of many reduced texts, hashed as one sequence.
+
+    A run or window counts for a text only if it lies within it, so the joint sequence gives
+    the same as each text by itself.
+    """
+
+    def __init__(self, texts: list[str], setting: Setting):
+        self.setting = setting
+        self.lengths = [len(t) for t in texts]
+        self.starts = np.cumsum([0, *self.lengths])
+        runs = Runs(code_points("".join(texts)))
+        self.hashes = {length: runs.hashes(length) for length in {setting.width, *(length for _, length, _ in setting.tiers)}}
+        self.least = {(length, window): _sliding_least(self.hashes[length], window) for _, length, window in setting.tiers if 1 < window <= len(self.hashes[length])}
+
+    def runs(self, i: int, length: int) -> np.ndarray:
+        return self.hashes[length][self.starts[i] : self.starts[i] + max(self.lengths[i] - length + 1, 0)]
+
+    def n_runs(self, i: int) -> int:
+        return len(np.unique(self.runs(i, self.setting.width)))
+
+    def anchors(self, i: int, n_runs: int) -> list[np.ndarray]:
+        """The distinct anchors of a text in each tier; their lowest two bits are the tier."""
+        out, tiers = [], self.setting.tiers
+        for tier, (least, length, window) in enumerate(tiers):
+            end = tiers[tier + 1][0] if tier + 1 < len(tiers) else np.inf
+            if not least <= n_runs < end / self.setting.threshold:
+                out.append(np.zeros(0, np.uint64))
+                continue
+            h = self.runs(i, length)
+            if window > 1 and len(h) > window:
+                h = self.least[length, window][self.starts[i] : self.starts[i] + len(h) - window + 1]
+            elif window > 1 and len(h):
+                h = h.min(keepdims=True)
+            out.append(np.unique(h & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(tier))
+        return out
+
+
+def _groups(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive groups of about ``size`` characters; a longer text is alone."""
+    start, n = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and n + len(t) > size:
+            yield start, i
+            start, n = i, 0
+        n += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _describe(df: DataFrame, key: str, text: str, setting: Setting) -> DataFrame:
@@ -128,17 +196,18 @@ def _describe(df: DataFrame, key: str, text: str, setting: Setting) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows, digests, counts, sizes, found = [], [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    t = reduce_text(t)
-                    if len(t) < setting.width:
-                        continue
-                    rows.append(i)
-                    digests.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
-                    counts.append(len(np.unique(run_hashes(t, setting.width))))
-                    by_tier = anchors(t, counts[-1], setting)
-                    sizes.append(np.array([len(x) for x in by_tier], np.int32))
-                    found.append(np.concatenate(by_tier).view(np.int64))
+                reduced = [reduce_text(t) for t in part.column(1).to_pylist()]
+                rows = [i for i, t in enumerate(reduced) if len(t) >= setting.width]
+                texts = [reduced[i] for i in rows]
+                counts, sizes, found = [], [], []
+                for start, end in _groups(texts, GROUP_CHARS):
+                    described = Described(texts[start:end], setting)
+                    for i in range(end - start):
+                        counts.append(described.n_runs(i))
+                        by_tier = described.anchors(i, counts[-1])
+                        sizes.append(np.array([len(x) for x in by_tier], np.int32))
+                        found.append(np.concatenate(by_tier).view(np.int64))
+                digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
                 columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists(sizes, np.int32), lists(found, np.int64)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n_runs", "sizes", "anchors"])
 
@@ -201,26 +270,42 @@ def jaccard(a: str, b: str, width: int) -> float:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs (a, b, similarity) whose whole texts reach the threshold."""
+    """The pairs (a, b, similarity) whose whole texts reach the threshold.
+
+    The text of ``b`` travels to each of its pairs, that of ``a`` once to all of them: the rows
+    of one ``a`` are sorted behind its text. A text of many pairs is a hot key on either side,
+    so its pairs are spread over as many salts as they need, and its text goes to each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            score = np.zeros(len(left))
-            for i, (p, q) in enumerate(zip(left, right, strict=True)):
-                if p != last[0]:
-                    last = (p, np.unique(run_hashes(reduce_text(batch.column(2)[i].as_py()), setting.width)))
-                x, y = last[1], np.unique(run_hashes(reduce_text(batch.column(3)[i].as_py()), setting.width))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                score[i] = both / max(len(x) + len(y) - both, 1)
-            keep = pa.array(score >= setting.threshold)
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), keep), pc.filter(batch.column(1), keep), pc.filter(pa.array(score), keep)], names=["a", "b", "similarity"])
-
-    named = texts.select(F.col("id"), F.col("text"))
-    first = pairs.join(named.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    both = first.join(named.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a BIGINT, b BIGINT, similarity DOUBLE")
+            rows, scores = [], []
+            others, values = batch.column(1).to_pylist(), batch.column(2)
+            for i, b in enumerate(others):
+                found = np.unique(run_hashes(reduce_text(values[i].as_py()), setting.width))
+                if b is None:
+                    own = found
+                    continue
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                score = both / max(len(own) + len(found) - both, 1)
+                if score >= setting.threshold:
+                    rows.append(i)
+                    scores.append(score)
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(scores, pa.float64())], names=["a", "b", "similarity"])
+
+    salts = F.ceil(F.col("n") / F.lit(PAIRS_OF_A_SALT)).cast("int")
+    by_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", salts.alias("salts_b"))
+    by_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", salts.alias("salts_a"))
+    spread = lambda other, n: F.pmod(F.xxhash64(other), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("salt")
+    salted = pairs.join(by_b, "b").join(by_a, "a").select("a", "b", spread("b", "salts_a").alias("salt_a"), spread("a", "salts_b").alias("salt"))
+    to_b = texts.withColumnRenamed("id", "b").join(by_b, "b").select("b", "text", each("salts_b"))
+    to_a = texts.withColumnRenamed("id", "a").join(by_a, "a").select("a", F.lit(None).cast("long").alias("b"), "text", each("salts_a"))
+    rows = salted.join(to_b, ["b", "salt"]).select("a", "b", "text", F.col("salt_a").alias("salt")).unionByName(to_a)
+    placed = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return placed.select("a", "b", "text").mapInArrow(run, "a BIGINT, b BIGINT, similarity DOUBLE")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, key: str, text: str, setting: Setting | None = None) -> tuple[DataFrame, DataFrame]:
@@ -254,5 +339,37 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str, text: str, set
     return members, links
 
 
+def similar_pairs(members: DataFrame, links: DataFrame, block: int = 512) -> DataFrame:
+    """All pairs (a, b), a < b, of similar texts, copies among each other and each copy's links included.
+
+    ``members`` and ``links`` are those of :func:`near_duplicates`. A class of n copies gives
+    n (n - 1) / 2 pairs and a link as many as the product of its classes, so the rows grow with
+    the square of a class; where a class may hold a large share of all rows, ``members`` and
+    ``links`` say the same in one row a text and one a pair of classes. Classes are cut into
+    blocks of about ``block`` members and every pair of blocks is joined apart, so no class is
+    ever gathered by one task. Empty inputs give no pairs.
+    """
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select("class_id", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")
+    several = members.join(sizes, "class_id").select("class_id", "id", part)
+    within = sizes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    count = lambda side: sizes.select(F.col("class_id").alias(side), F.col("blocks").alias(f"blocks_{side}"))
+    numbered = links.select("a", "b").unionByName(within).join(count("a"), "a", "left").join(count("b"), "b", "left")
+    for side in ("a", "b"):  # a class of one member is its block -1
+        last = F.col(f"blocks_{side}") - 1
+        numbered = numbered.withColumn(f"part_{side}", F.explode(F.when(last.isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last))))
+    cells = numbered.where("a <> b OR part_a <= part_b").select("a", "b", "part_a", "part_b")
+    for side in ("a", "b"):
+        mine = several.select(F.col("class_id").alias(side), F.col("part").alias(f"part_{side}"), F.col("id").alias(f"id_{side}"))
+        cells = cells.join(mine, [side, f"part_{side}"], "left").withColumn(f"id_{side}", F.when(F.col(f"part_{side}") < 0, F.col(side)).otherwise(F.col(f"id_{side}")))
+    met = cells.where("id_a IS NOT NULL AND id_b IS NOT NULL AND (a <> b OR part_a < part_b OR id_a < id_b)")
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 #: Keys of copies are broadcast up to so many, 16 bytes each; beyond, they are joined by a shuffle.
 COPIES_BROADCAST = 500_000
+#: Texts are hashed jointly in groups of about so many characters.
+GROUP_CHARS = 200_000
+#: Pairs of one text that share a salt when they are verified.
+PAIRS_OF_A_SALT = 1_000

@@ -73,10 +73,9 @@ def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of class representatives, and every copy with the representative of its class."""
-    members, links = _near(spark, sf_dir)
-    copied = members.where("id <> class_id").select(F.col("class_id").alias("doc_id_a"), F.col("id").alias("doc_id_b"))
-    return links.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).union(copied)
+    """Every pair of similar documents, copies included."""
+    found = near_duplicates.similar_pairs(*_near(spark, sf_dir))
+    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

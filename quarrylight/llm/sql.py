@@ -48,12 +48,9 @@ SELECT doc_id, 'solid' FROM over_ WHERE list_max(list_transform(regexp_split_to_
 
 P5_FOUND = f"""
 WITH t AS (SELECT doc_id, {norm("content")} AS c FROM documents WHERE form = 'prose' AND content IS NOT NULL),
-k AS (SELECT c, min(doc_id) AS a FROM t WHERE length(c) >= 12 GROUP BY c),
-g AS (SELECT DISTINCT a, substr(c, i::INT, 12) AS x FROM k, unnest(range(1, length(c) - 10)) AS r(i)),
-n AS (SELECT a, count(*) AS n FROM g GROUP BY a),
-p AS (SELECT l.a AS a, r.a AS b, count(*) AS both_ FROM g l JOIN g r ON l.x = r.x AND l.a < r.a GROUP BY 1, 2)
-SELECT p.a AS doc_id_a, p.b AS doc_id_b FROM p JOIN n na ON na.a = p.a JOIN n nb ON nb.a = p.b WHERE both_ >= 0.6 * (na.n + nb.n - both_)
-UNION ALL
-SELECT k.a, t.doc_id FROM t JOIN k USING (c) WHERE t.doc_id <> k.a"""
+g AS (SELECT DISTINCT doc_id, substr(c, i::INT, 12) AS x FROM t, unnest(range(1, length(c) - 10)) AS r(i) WHERE length(c) >= 12),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS both_ FROM g l JOIN g r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2)
+SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE both_ >= 0.6 * (na.n + nb.n - both_)"""
 
 SQL = {"p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}

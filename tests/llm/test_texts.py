@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from compare import DATA
 from quarrylight.llm import near_duplicates as nd, pieces, sentences
 from quarrylight.llm.transducer import Transducer
 
@@ -133,22 +134,104 @@ def test_near_duplicates_against_brute_force(spark, heavy):
     assert members.count() == 0 and links.count() == 0
 
 
+def plain_hashes(text, width):
+    """Every run's hash by its definition, character by character."""
+    out = []
+    for i in range(len(text) - width + 1):
+        h = 0
+        for c in text[i : i + width]:
+            h = (h * int(nd._A) + ord(c)) % 2**64
+        for shift, factor in ((30, int(nd._B)), (27, int(nd._C)), (31, 1)):
+            h = (h ^ h >> shift) * factor % 2**64
+        out.append(h)
+    return out
+
+
+@given(st.text(max_size=70), st.sampled_from([1, 2, 5, 12, 20, 24]))
+@settings(max_examples=60, deadline=None)
+def test_hashes_by_doubling(text, width):
+    assert nd.run_hashes(text, width).tolist() == plain_hashes(text, width)
+
+
+@given(st.lists(st.text(alphabet="ab√é", max_size=90), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_joint_hashing_is_that_of_each_text(texts):
+    s = nd.Setting(tiers=((0, 12, 1), (20, 20, 12), (40, 24, 20)))
+    joint = nd.Described(texts, s)
+    for i, t in enumerate(texts):
+        n = len(set(plain_hashes(t, 12)))
+        assert joint.n_runs(i) == n
+        for tier, found in enumerate(joint.anchors(i, n)):
+            least, length, window = s.tiers[tier]
+            end = s.tiers[tier + 1][0] if tier < 2 else 10**9
+            h = plain_hashes(t, length) if least <= n < end / 0.6 else []
+            wanted = {min(h[k : k + window]) for k in range(max(len(h) - window + 1, min(len(h), 1)))}
+            assert set(found.tolist()) == {x >> 2 << 2 | tier for x in wanted}
+
+
 @given(st.text(alphabet="abc", min_size=43, max_size=120), st.text(alphabet="abc", max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_a_common_stretch_has_a_common_anchor(shared, other):
-    for _, length, window in nd.Setting().tiers:
-        assert len(np.intersect1d(nd._sparse_runs(shared, length, window), nd._sparse_runs(other + shared, length, window)))
+    for tier in nd.Setting().tiers:
+        both = nd.Described([shared, other + shared], nd.Setting(tiers=((0, *tier[1:]),)))
+        assert len(np.intersect1d(both.anchors(0, 100)[0], both.anchors(1, 100)[0]))
 
 
 @given(st.integers(1, 5000), st.floats(0.6, 1.0))
 @settings(max_examples=200, deadline=None)
 def test_sizes_that_can_be_similar_share_a_tier(n, ratio):
-    s = nd.Setting()
-    text = "ab"
-    both = [[len(x) > 0 for x in nd.anchors(text * 40, k, s)] for k in (int(n), int(n / ratio))]
+    text = nd.Described(["ab" * 40], nd.Setting())
+    both = [[len(x) > 0 for x in text.anchors(0, k)] for k in (int(n), int(n / ratio))]
     assert any(a and b for a, b in zip(*both, strict=True))
 
 
+def evenly_edited(rng, n_texts=24, length=900):
+    """Texts that differ from one base at evenly spaced places, the hardest case for anchors."""
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length))
+    out = []
+    for k in range(n_texts):
+        t = list(base)
+        for at in range(k * 7 % 40, length, 60 + k % 5 * 12):
+            t[at] = rng.choice("0123")
+        out.append("".join(t))
+    return out
+
+
+def brute_pairs(rows):
+    texts = [(k, nd.reduce_text(t)) for k, t in rows if t and len(nd.reduce_text(t)) >= 12]
+    return {(min(a, b), max(a, b)) for i, (a, x) in enumerate(texts) for b, y in texts[i + 1 :] if nd.jaccard(x, y, 12) >= 0.6}
+
+
+def test_the_exact_setting_loses_nothing(spark):
+    rows = list(enumerate(evenly_edited(random.Random(3))))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, content STRING")
+    _, links = nd.near_duplicates(spark, df, "doc_id", "content", nd.Setting.exact())
+    brute = brute_pairs(rows)
+    assert len(brute) > 30 and {(r.a, r.b) for r in links.collect()} == brute
+
+
+def test_the_exact_setting_agrees_on_the_tables(spark):
+    if not DATA.exists():
+        pytest.skip("no test tables")
+    prose = spark.read.parquet(f"{DATA}/documents.parquet").where("form = 'prose'")
+    found = [{tuple(r) for r in nd.near_duplicates(spark, prose, "doc_id", "content", s)[1].select("a", "b").collect()} for s in (nd.Setting(), nd.Setting.exact())]
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("block", [2, 512])
+@pytest.mark.parametrize("salt", [1, 1000])
+def test_all_pairs_with_hot_classes(spark, block, salt, monkeypatch):
+    monkeypatch.setattr(nd, "PAIRS_OF_A_SALT", salt)
+    rng = random.Random(11)
+    base = words(rng, 80)
+    texts = [" ".join(base[:k] + ["qqqqq"] + base[k:]) for k in range(0, 60, 20)]
+    rows = [(k * 5 % 31, texts[k % 3] if k % 4 else texts[0].upper()) for k in range(20)] + [(100 + k, " ".join(words(rng, 40))) for k in range(5)]
+    df = spark.createDataFrame([(k, t, t) for k, t in rows], "doc_id BIGINT, content STRING, id STRING")
+    found = [(r.a, r.b) for r in nd.similar_pairs(*nd.near_duplicates(spark, df, "doc_id", "content"), block=block).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_pairs(rows) and len(found) == 190
+    assert nd.similar_pairs(*nd.near_duplicates(spark, df.limit(0), "doc_id", "content"), block=block).count() == 0
+
+
 def test_short_texts_with_edits(spark):
     rng = random.Random(9)
     rows = []
