@@ -43,11 +43,12 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the profile 'wide' cuts, and those of them that have no boundary somewhere."""
+    """The documents that the profile 'wide' cuts, and those of them with a cut through a longer stretch without boundary."""
     limit, overlap = _profile(spark, sf_dir, "wide")
     found = pieces.split_documents(_table(spark, sf_dir, "documents"), "doc_id", "content", limit, overlap, with_text=False)
-    kinds = F.array(F.lit("over"), F.when(F.col("longest_solid") > limit, F.lit("solid")))
-    return found.where("piece_no = 0").select("doc_id", F.explode(F.array_compact(kinds)).alias("kind"))
+    over = found.where("piece_no = 0 AND n_pieces > 1").select("doc_id", F.lit("over").alias("kind"))
+    # A stretch longer than a piece is cut somewhere, wherever else it would be cut: the pieces show it.
+    return over.unionByName(found.where(F.col("solid") > limit).select("doc_id", F.lit("solid").alias("kind")).distinct())
 
 
 def _profile(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
@@ -62,6 +63,12 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_documents(_table(spark, sf_dir, "documents"), "doc_id", "content", *_profile(spark, sf_dir, "stock"))
 
 
+def p4_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pieces of all contents by the profile 'stock' break each rule of pieces."""
+    limit, overlap = _profile(spark, sf_dir, "stock")
+    return pieces.piece_violations(p4_pieces(spark, sf_dir), _table(spark, sf_dir, "documents"), "doc_id", "content", limit, overlap)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every text."""
     return sentences.sentence_units(_table(spark, sf_dir, "documents"))
@@ -107,5 +114,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p4_violations, p5_found, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found)
 }

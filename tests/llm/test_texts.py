@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from compare import DATA
+from pyspark.sql import functions as F
+
 from quarrylight.llm import near_duplicates as nd, pieces, sentences
 from quarrylight.llm.transducer import Transducer
 
@@ -81,7 +83,7 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
     assert all(0 < e - s <= limit for s, e, _ in got)
     for (_, e, kind), (s2, e2, _) in zip(got, got[1:]):
         assert s2 == e - overlap and e2 > e
-        assert kind in ("hard", *(name for name, _ in pieces.LEVELS))
+        assert kind in ("hard", *pieces.COARSE, *(name for name, _ in pieces.FINE))
 
 
 def test_pieces_keep_structure(spark):
@@ -94,12 +96,52 @@ def test_pieces_keep_structure(spark):
     df = spark.createDataFrame(rows, "doc_id BIGINT, content STRING, piece_no INT")
     out = pieces.split_documents(df, "doc_id", "content", 90, 10).collect()
     assert {r.doc_id for r in out} == {1, 4} and all(len(r.piece) <= 90 and r.piece == (text if r.doc_id == 1 else "x" * 300)[r.start_pos : r.end_pos] for r in out)
-    assert {r.longest_solid for r in out if r.doc_id == 4} == {300} and {r.boundary for r in out if r.doc_id == 4} == {"hard", "end"}
+    assert {r.solid for r in out if r.doc_id == 4} == {300, 0} and {r.boundary for r in out if r.doc_id == 4} == {"hard", "end"}
     assert pieces.split_documents(df.limit(0), "doc_id", "content", 90, 10).count() == 0
     with pytest.raises(ValueError):
         pieces.split_documents(df, "doc_id", "content", 10, 10)
 
 
+def test_the_tree_of_a_text():
+    text = "Start.\n\n# A\nBody of A.\n\n### A.x\n- one\n  - one a\n  - one b\nrest of it\n- two\n\nTitle\n=====\n\nLast.\n"
+
+    def shape(node):
+        return (node.kind, text[node.start : node.end].split("\n")[0].strip(), [shape(c) for c in node.children])
+
+    kind, _, parts = shape(pieces.parse(text))
+    assert kind == "start" and [p[:2] for p in parts] == [("paragraph", "Start."), ("section", "# A"), ("section", "Title")]
+    body, sub = parts[1][2]
+    assert body[:2] == ("paragraph", "# A") and sub[:2] == ("section", "### A.x")
+    items = sub[2][0][2]
+    assert [i[1] for i in items] == ["### A.x", "- two"] and [i[1] for i in items[0][2]] == ["### A.x", "- one a", "- one b"]
+
+
+def test_sections_stay_apart_and_headings_with_their_text():
+    text = "# A\n\nIntro.\n\n## A1\n\n" + "Some words go here. " * 12 + "\n\n## A2\n\nDr. Smith came in. " + "It went on. " * 6 + "\n\n# B\n\n" + "Last text. " * 8
+    got = pieces.split_text(text, 200, 0)
+    assert all(not text[s:e].strip("\n").endswith(("# A", "## A1", "## A2", "# B")) for s, e, _ in got)
+    assert any(s == text.index("# B") for s, _, _ in got)  # a part of A isn't joined with B
+    assert all(not text[s:e].rstrip().endswith("Dr.") for s, e, _ in pieces.split_text(text, 40, 5))
+    small = "# A\n\n## A1\n\nOne.\n\n## A2\n\nTwo.\n\n# B\n\nThree.\n\n# C\n\n" + "Long text. " * 9
+    assert [text_[:3] for text_ in (small[s:e] for s, e, _ in pieces.split_text(small, 60, 0))][0] == "# A" and pieces.split_text(small, 60, 0)[0][1] == small.index("# C")
+    deep = "".join(" " * k + "- x\n" for k in range(200))
+    assert pieces.split_text(deep, 500, 10)[-1][1] == len(deep)
+
+
+def test_violations_are_seen(spark):
+    text = "One two three. " * 20
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "y" * 100)], "doc_id BIGINT, content STRING")
+    made = pieces.split_documents(df, "doc_id", "content", 60, 6)
+    count = lambda p: {r.rule: r.n for r in pieces.piece_violations(p, df, "doc_id", "content", 60, 6).collect()}
+    assert set(count(made).values()) == {0} and len(count(made)) == 6
+    assert count(made.where("doc_id <> 4"))["text without pieces"] == 1
+    assert count(made.where("piece_no <> 1"))["wrong overlap"] == 1
+    longer = count(made.withColumn("piece", F.concat("piece", F.lit("z" * 60))))
+    assert longer["over the limit"] > 0 and longer["other than the text"] > 0
+    assert count(made.where("piece_no < n_pieces - 1"))["end not reached"] == 2
+    assert count(made.withColumn("end_pos", F.col("end_pos") - 1))["end not reached"] == 2
+
+
 def words(rng, n):
     return ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(n)]
 
