@@ -1,8 +1,9 @@
 """Top-k search of a block of sparse queries over a partition of sparse documents.
 
-A block's queries are held as an inverted index, key -> (queries, weights). Documents pass
-by once; their matches are added up in numpy, and every query keeps its best. So a
-partition gives at most k rows a query, whatever the lengths of posting lists are.
+A block's queries are held as an inverted index, key number -> (queries, weights). Documents
+pass by once; their matches are looked up and added up in Arrow and numpy, and every query
+keeps its best. So a partition gives at most k rows a query, whatever the lengths of posting
+lists are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 #: Documents whose matches are added up together.
@@ -36,9 +38,9 @@ def keep_best(kept: list, k: int, tie: Callable | None) -> None:
 
 @dataclass(frozen=True)
 class Index:
-    """Posting lists of a block's queries: key -> a stretch of query numbers and weights."""
+    """Posting lists of a block's queries: the n-th key has a stretch of query numbers and weights."""
 
-    number: dict[Hashable, int]
+    keys: list[Hashable]
     start: np.ndarray
     length: np.ndarray
     queries: np.ndarray
@@ -57,51 +59,60 @@ def query_index(queries: Iterable[tuple[Hashable, Iterable, Iterable]]) -> tuple
         ids.append(q)
     length = np.array([len(a) for a, _ in lists.values()], np.int64)
     flat = lambda i, kind: np.array([x for pair in lists.values() for x in pair[i]], kind)
-    return ids, Index({key: i for i, key in enumerate(lists)}, np.cumsum(length) - length, length, flat(0, np.int64), flat(1, np.float64))
+    return ids, Index(list(lists), np.cumsum(length) - length, length, flat(0, np.int64), flat(1, np.float64))
 
 
-def best_of_partition(ids: list, index: Index, k: int, digits: int | None, schema: T.StructType, terms: Callable, least: float = -np.inf, tie: Callable | None = None):
-    """A function over batches of documents (id, ...) that yields (query, id, score) of the best of each query.
+def looked_up(lists: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, number): the entries of a list column that are among ``keys``, by their row and place in all entries."""
+    numbers = pc.index_in(lists.flatten(), value_set=keys)
+    place = np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False))
+    rows = pc.list_parent_indices(lists).to_numpy()[place]
+    return rows, place, numbers.drop_null().to_numpy().astype(np.int64)
 
-    ``terms(row columns)`` gives a document's (keys, weights). Only documents that share a key
-    with a query, and score above ``least``, count.
+
+def best_of_partition(ids: list, index: Index, k: int, digits: int | None, schema: T.StructType, least: float = -np.inf, tie: Callable | None = None, weigh: Callable | None = None):
+    """A function over batches of documents (id, keys, weights, ...) that yields (query, id, score) of the best of each query.
+
+    ``weigh(weights, rows, batch)`` turns the weights of the entries that matched, of the given
+    rows, into others. Only documents that share a key with a query, and score above
+    ``least``, count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                columns = [c.to_pylist() for c in batch.slice(at, ROWS).columns]
-                names = columns[0]
-                numbers, rows, weights = [], [], []
-                for d, cells in enumerate(zip(*columns[1:], strict=True)):
-                    for key, w in zip(*terms(*cells), strict=True):
-                        n = index.number.get(key)
-                        if n is not None:
-                            numbers.append(n)
-                            rows.append(d)
-                            weights.append(w)
-                if not rows:
+        keys = None
+        for whole in batches:
+            if keys is None:
+                keys = pa.array(index.keys, whole.schema.field(1).type.value_type)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                rows, place, found = looked_up(batch.column(1), keys)
+                if not len(rows):
                     continue
-                found = np.array(numbers)
+                weights = batch.column(2).flatten().to_numpy(zero_copy_only=False)[place].astype(np.float64)
+                if weigh is not None:
+                    weights = weigh(weights, rows, batch)
+                n_rows = batch.num_rows
                 sizes = index.length[found]
                 ends = np.cumsum(sizes)
                 take = np.arange(ends[-1]) + np.repeat(index.start[found] - ends + sizes, sizes)
-                cell = index.queries[take] * len(names) + np.repeat(rows, sizes)
-                amounts = index.weights[take] * np.repeat(weights, sizes)
-                used, place = np.unique(cell, return_inverse=True)
-                scores = np.bincount(place, amounts)
+                cell = index.queries[take] * n_rows + np.repeat(rows, sizes)
+                used, cells = np.unique(cell, return_inverse=True)
+                scores = np.bincount(cells, index.weights[take] * np.repeat(weights, sizes))
                 if digits is not None:
                     scores = np.round(scores, digits) + 0.0
                 wanted = scores > least
                 used, scores = used[wanted], scores[wanted]
-                asking = used // len(names)
-                starts = np.flatnonzero(np.r_[True, asking[1:] != asking[:-1]]) if len(asking) else []
+                if not len(used):
+                    continue
+                asking = used // n_rows
+                names = batch.column(0).to_pylist()
+                starts = np.flatnonzero(np.r_[True, asking[1:] != asking[:-1]])
                 for s, e in zip(starts, np.r_[starts[1:], len(asking)], strict=True):
                     q, mine = int(asking[s]), scores[s:e]
                     bound = -np.partition(-mine, k - 1)[k - 1] if len(mine) > k else -np.inf
                     kept = best.setdefault(q, [])
-                    kept.extend((float(mine[j]), names[int(used[s + j] % len(names))]) for j in np.flatnonzero(mine >= bound))
+                    kept.extend((float(mine[j]), names[int(used[s + j] % n_rows)]) for j in np.flatnonzero(mine >= bound))
                     if len(kept) > 4 * k:
                         keep_best(kept, k, tie)
         out = []

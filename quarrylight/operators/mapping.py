@@ -20,6 +20,16 @@ from quarrylight.session import Workspace
 RECIPE = ("seed", "query_subset_size", "document_subset_size", "include_annotated_docs", "use_all_selected_documents_for_every_query", "random_docs_per_query", "easy_negative_docs_per_query", "gold_passage_docs_per_query")
 
 
+#: Hexadecimal digits that one histogram of hashes resolves, and keys that are few enough to sort.
+PREFIX = 3
+FEW_KEYS = 10_000
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The ``n`` first rows of an order, however many they are: by numbered ranges, not by one task."""
+    return with_ordinal(df, *order, name="_nth").where(F.col("_nth") < n).drop("_nth")
+
+
 def hash_order(seed: int | str, *columns: Column) -> Column:
     """The order of a row under a seed: MD5 in hexadecimal, the same in every engine."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns).cast("binary"))
@@ -48,14 +58,34 @@ def distinct_in_order(df: DataFrame, column: str, pos: str) -> DataFrame:
 
 
 def sample_keys(df: DataFrame, column: str, size: int | None, seed: int | str, label: str) -> DataFrame:
-    """``df`` with ``size`` of its distinct keys by hash order; all of them for None; too few raise."""
+    """``df`` with ``size`` of its distinct keys by hash order; all of them for None; too few raise.
+
+    The last key that is taken is found by histograms of hash prefixes, refined where the size
+    falls, so nothing is sorted; then one comparison filters.
+    """
     if size is None:
         return df
-    n = df.select(column).distinct().count()
-    if size > n:
-        raise ValueError(f"{size} {label} were asked for, {n} exist")
-    chosen = df.select(column).distinct().orderBy(hash_order(seed, F.col(column)), column).limit(size)
-    return df.join(chosen, column, "left_semi")
+    order = hash_order(seed, F.col(column))
+    keys = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_key"), order.alias("_h")).distinct()
+    if size == 0:
+        return df.where(F.lit(False))
+    prefix, left = "", size
+    while True:
+        inside = keys.where(F.col("_h").startswith(prefix)) if prefix else keys
+        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(F.substring("_h", len(prefix) + 1, PREFIX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # 16 ** PREFIX rows at most
+        there = sum(n for _, n in counts)
+        if there < left:
+            raise ValueError(f"{size} {label} were asked for, {size - left + there} exist")
+        for bucket, n in counts:
+            if n >= left:
+                break
+            left -= n
+        prefix += bucket
+        if n <= FEW_KEYS or len(prefix) + PREFIX > 32:
+            break
+    last = keys.where(F.col("_h").startswith(prefix)).orderBy("_h", "_key").limit(left).collect()[-1]
+    taken = (order < F.lit(last["_h"])) | (order == F.lit(last["_h"])) & (F.col(column) <= F.lit(last["_key"]))
+    return df.where(F.col(column).isNotNull() & taken)
 
 
 def exact_sample(keys: list[str], size: int, seed: int) -> list[str]:
@@ -202,14 +232,14 @@ def limit_dataset(documents: DataFrame, queries: DataFrame, qrels: DataFrame, ma
     else:
         judged = distinct_in_order(qrels, "IN", "pos")
         source = judged if judged.limit(1).count() else distinct_in_order(queries, "IN", "pos")
-        needs = source.orderBy("pos", "IN").limit(max_queries).select("IN")
+        needs = first_rows(source, max_queries, "pos", "IN").select("IN")
     chosen = qrels.join(needs, "IN", "left_semi")
     kept = documents
     if max_documents is not None:
         required = chosen.select(F.col("document_id").alias("id")).where("id IS NOT NULL").distinct()
         must = documents.join(required, "id", "left_semi")
         n = must.count()
-        rest = documents.join(required, "id", "left_anti").groupBy("id").agg(F.min("pos").alias("_first")).orderBy("_first", "id").limit(max(max_documents - n, 0))
+        rest = first_rows(documents.join(required, "id", "left_anti").groupBy("id").agg(F.min("pos").alias("_first")), max(max_documents - n, 0), "_first", "id")
         fill = documents.join(rest, "id").where(F.col("pos") == F.col("_first")).drop("_first")
         kept = must.unionByName(fill.select(*must.columns))
     there = kept.select(F.col("id").alias("document_id")).distinct()

@@ -77,7 +77,7 @@ def _unmatched(reference: Reference, children: DataFrame, parents: DataFrame, sa
     heavy = heavy_keys_of(children, "_key")
 
     def without(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame:
-        a, b = salted(left, right, "_key", heavy, F.col("row_key"), salts)
+        a, b = salted(left, right, "_key", heavy, F.col("row_key"))
         b = b.withColumnsRenamed({"_key": "_parent_key", "_salt": "_parent_salt"})
         met = (F.col("_key") == F.col("_parent_key")) & (F.col("_salt") == F.col("_parent_salt"))
         for c in conditions:

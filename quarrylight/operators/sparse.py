@@ -14,7 +14,7 @@ from quarrylight.operators.blocks import best_of_partition, query_index
 from quarrylight.schemas import require
 from quarrylight.session import Workspace
 
-#: Queries that one pass over the postings carries.
+#: Queries that one pass over the documents carries; their vectors pass through the driver.
 BLOCK_QUERIES = 50_000
 
 
@@ -76,9 +76,11 @@ def sparse_from_postings(entries: DataFrame) -> DataFrame:
 
 def sparse_retrieve(
     queries: DataFrame, entries: DataFrame, documents: DataFrame, k: int = 10, min_score: float = 0.0, candidates: DataFrame | None = None,
-    digits: int | None = 9, block: int = BLOCK_QUERIES,
+    digits: int | None = 9, block: int = BLOCK_QUERIES, with_vectors: bool = False,
 ) -> DataFrame:
-    """(query_id, rank, ordinal, id, score): documents by the sum of shared weights.
+    """(query_id, rank, ordinal, id, score[, sparse]): documents by the sum of shared weights.
+
+    With ``with_vectors`` each result carries its document's sparse vector.
 
     ``queries`` (query_id, sparse). Kept are scores above ``min_score`` (strictly), the k best
     of each query by score descending, then ordinal. ``candidates`` (query_id, document_id)
@@ -86,9 +88,11 @@ def sparse_retrieve(
     listed; a query that has no candidates at all is unrestricted. Negative weights count as
     they are. Invalid query vectors raise on reading.
 
-    Unrestricted queries are the stated set: they travel in blocks, postings of their
-    dimensions are brought together by document once a block, and a partition keeps k rows a
-    query. Restricted ones are joined with their candidates' postings only.
+    Unrestricted queries are the stated set: they travel in blocks over the documents'
+    vectors, and a partition keeps k rows a query. Vectors are the column ``sparse`` of
+    ``documents`` where there is one (then nothing is shuffled but results), else they are put
+    together from the postings once and written. Restricted queries are joined with their
+    candidates' postings only.
     """
     if k <= 0:
         raise ValueError("top_k must be positive")
@@ -108,18 +112,28 @@ def sparse_retrieve(
         summed = pairs.join(entries, "ordinal").join(terms, ["query_id", "dim"]).groupBy("query_id", "ordinal").agg((F.round(total, digits) if digits is not None else total).alias("score"))
         parts.append(summed.where(F.col("score") > min_score))
     space = Workspace(spark, "sparse")
-    blocks = max(1, -(-free.count() // block))
+    n_free = free.count()
+    blocks = max(1, -(-n_free // block)) if n_free else 0
+    if blocks:
+        sparse = F.col("sparse")
+        if "sparse" in documents.columns:
+            vectors = documents.select(F.col("ordinal").cast("long").alias("ordinal"), sparse["indices"].alias("d"), sparse["values"].alias("w"))
+        else:
+            vectors = space.write(sparse_from_postings(entries).select(F.col("ordinal").cast("long").alias("ordinal"), sparse["indices"].alias("d"), sparse["values"].alias("w")), "vectors")
     for i in range(blocks):
         mine = free.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         ids, index = query_index((r["query_id"], r["sparse"]["indices"], r["sparse"]["values"]) for r in mine.toLocalIterator())  # this block's queries
-        dims = mine.select(F.explode("sparse.indices").alias("dim")).distinct()
-        vectors = entries.join(dims, "dim", "left_semi").groupBy("ordinal").agg(F.collect_list("dim").alias("d"), F.collect_list("weight").alias("w"))
-        run = best_of_partition(ids, index, k, digits, schema, lambda d, w: (d, w), min_score, lambda ordinal: ordinal)
-        found = vectors.mapInArrow(run, schema)
+        found = vectors.mapInArrow(best_of_partition(ids, index, k, digits, schema, min_score, lambda ordinal: ordinal), schema)
         parts.append(space.write(_best(found, k), f"block-{i}") if blocks > 1 else found)
+    if not parts:
+        parts.append(spark.createDataFrame([], schema))
     best = _best(reduce(DataFrame.unionByName, parts), k)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ordinal"))
-    return best.withColumn("rank", F.row_number().over(place)).join(documents.select("ordinal", "id"), "ordinal").select("query_id", "rank", "ordinal", "id", "score")
+    carried = ["sparse"] if with_vectors else []
+    named = best.withColumn("rank", F.row_number().over(place)).join(documents.select("ordinal", "id", *([c for c in carried if c in documents.columns])), "ordinal")
+    if with_vectors and "sparse" not in documents.columns:
+        named = named.join(sparse_from_postings(entries.join(best.select("ordinal").distinct(), "ordinal", "left_semi")), "ordinal")
+    return named.select("query_id", "rank", "ordinal", "id", "score", *carried)
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:

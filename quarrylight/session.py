@@ -84,27 +84,98 @@ class Workspace:
         delete_path(self.spark, self.root)
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """The whole of a small text file, or None where there is none."""
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The sorted names below a folder; none for a missing folder."""
     found, fs = _path(spark, path)
-    if not fs.exists(found):
+    return sorted(s.getPath().getName() for s in fs.listStatus(found)) if fs.exists(found) else []
+
+
+def _rename(fs, source, target) -> bool:
+    return fs.rename(source, target)
+
+
+def replace_path(spark: SparkSession, part: str, path: str) -> None:
+    """Puts the finished file or folder ``part`` in the place of ``path``.
+
+    A former version is set aside first and removed last. If the renaming fails it is put
+    back; if the process dies in between, :func:`restore_path` puts it back. So a complete
+    version exists at every moment.
+    """
+    source, fs = _path(spark, part)
+    target, _ = _path(spark, path)
+    aside = None
+    if fs.exists(target):
+        aside, _ = _path(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")
+        if not _rename(fs, target, aside):
+            raise OSError(f"cannot set {path} aside")
+    done = False
+    try:
+        done = _rename(fs, source, target)
+    finally:
+        if not done and aside is not None:
+            fs.rename(aside, target)
+    if not done:
+        raise OSError(f"cannot publish {path}")
+    if aside is not None:
+        fs.delete(aside, True)
+
+
+def restore_path(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, after putting back a version that a process which died had set aside."""
+    target, fs = _path(spark, path)
+    if fs.exists(target):
+        return True
+    parent, name = target.getParent(), target.getName()
+    if not fs.exists(parent):
+        return False
+    left = [s for s in fs.listStatus(parent) if s.getPath().getName().startswith(f"{name}.") and s.getPath().getName().endswith(".old")]
+    if not left:
+        return False
+    newest = max(left, key=lambda s: (s.getModificationTime(), s.getPath().getName()))
+    return fs.rename(newest.getPath(), target)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """The whole of a small file, or None where there is none."""
+    if not restore_path(spark, path):
         return None
+    found, fs = _path(spark, path)
     stream = fs.open(found)
     try:
-        return bytes(stream.readAllBytes()).decode("utf-8")
+        return bytes(stream.readAllBytes())
     finally:
         stream.close()
 
 
-def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small text file beside ``path`` and renames it: readers see all or nothing."""
-    target, fs = _path(spark, path)
-    part, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    stream = fs.create(part, True)
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small text file, or None where there is none."""
+    found = read_bytes(spark, path)
+    return None if found is None else found.decode("utf-8")
+
+
+def write_bytes_atomic(spark: SparkSession, path: str, body: bytes) -> None:
+    """Writes a small file beside ``path`` and puts it there: readers see the former or the new one, never part of it."""
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    found, fs = _path(spark, part)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        stream = fs.create(found, True)
+        try:
+            stream.write(bytearray(body))
+        finally:
+            stream.close()
+        replace_path(spark, part, path)
     finally:
-        stream.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot publish {path}")
+        fs.delete(found, False)
+
+
+def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes_atomic(spark, path, text.encode("utf-8"))
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Removes the written tables of all operator calls of this application; results that read them are void then.
+
+    Operators drop what their own results don't read. The rest stays until this is called,
+    or the shared folder's own cleaning takes it.
+    """
+    delete_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")

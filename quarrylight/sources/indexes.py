@@ -9,22 +9,27 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylight.operators.dense import SIMILARITIES
-from quarrylight.operators.sparse import index_statistics, postings, with_ordinal
+from quarrylight.operators.sparse import postings, with_ordinal
 from quarrylight.schemas import duplicate_ids, require
-from quarrylight.session import _path, delete_path, read_text, write_text_atomic
+from quarrylight.session import Workspace, delete_path, read_text, replace_path, restore_path, write_text_atomic
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    found, fs = _path(spark, path)
-    return fs.exists(found)
+    """Whether there is something at a path; a version that a dead process had set aside is put back."""
+    return restore_path(spark, path.rstrip("/"))
 
 
 def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], head: dict, overwrite: bool = False) -> str:
-    """Writes tables and head beside ``path`` and renames the folder to it; nothing stays of a failure."""
+    """Writes tables and head beside ``path`` and puts the folder there.
+
+    A failure leaves nothing of the new store and all of the former one: that is set aside,
+    put back if the renaming fails, and removed last (see :func:`quarrylight.session.replace_path`).
+    """
     if exists(spark, path) and not overwrite:
         raise FileExistsError(path)
     part = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
@@ -32,14 +37,9 @@ def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], head:
         for name, df in tables.items():
             df.write.parquet(f"{part}/{name}")
         write_text_atomic(spark, f"{part}/index.json", json.dumps(head, indent=2, ensure_ascii=False) + "\n")
-        if exists(spark, path):
-            if not overwrite:
-                raise FileExistsError(path)
-            delete_path(spark, path)
-        source, fs = _path(spark, part)
-        target, _ = _path(spark, path)
-        if not fs.rename(source, target):
-            raise OSError(f"cannot publish {path}")
+        if exists(spark, path) and not overwrite:
+            raise FileExistsError(path)
+        replace_path(spark, part, path.rstrip("/"))
     finally:
         delete_path(spark, part)
     return path
@@ -47,7 +47,7 @@ def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], head:
 
 def head_of(spark: SparkSession, path: str, kind: str) -> dict:
     """The head of a store; raises where there is none or it is of another kind."""
-    text = read_text(spark, f"{path}/index.json")
+    text = read_text(spark, f"{path}/index.json") if exists(spark, path) else None
     if text is None:
         raise FileNotFoundError(f"no index at {path}")
     head = json.loads(text)
@@ -82,36 +82,69 @@ def write_sparse_index(documents: DataFrame, path: str, dimension: int | None =
     """Stores documents (id, sparse, pos, ...) as documents, postings and statistics; returns how many this call added.
 
     Ordinals follow ``pos`` and go on over appended batches; an id that is there already
-    raises, and so does an index beyond ``dimension``. Postings are clustered by dimension.
+    raises, and so does an index beyond ``dimension``. An index is a list of segments. A batch
+    is written as a segment of its own, its postings clustered by dimension, and then named in
+    ``index.json``; what is there is only read for its ids, so appending costs what the batch
+    costs. A failure before that leaves the index as it was. :func:`merge_segments` makes one
+    segment of many.
     """
     spark = documents.sparkSession
     if duplicate_ids(documents, "id").limit(1).count():
         raise ValueError("a document id occurs more than once")
-    start, old_documents, old_postings = 0, None, None
+    head = {"kind": "sparse-index", "segments": []}
     if append:
         head = head_of(spark, path, "sparse-index")
-        start, dimension = head["statistics"]["document_count"], head["dimension"] if dimension is None else dimension
-        old_documents, old_postings = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
-        if old_documents.join(documents.select("id"), "id", "left_semi").limit(1).count():
+        dimension = head["dimension"] if dimension is None else dimension
+        if _segments(spark, path, head, "documents").select("id").join(documents.select("id"), "id", "left_semi").limit(1).count():
             raise ValueError("a document id is in the index already")
-    numbered = with_ordinal(documents, "pos", "id", start=start)
+    start = head["statistics"]["document_count"] if append else 0
+    space = Workspace(spark, "segment")
+    numbered = space.write(with_ordinal(documents, "pos", "id", start=start), "numbered")
     entries = postings(numbered, dimension)
-    stored = numbered.drop("sparse", "pos", *([] if keep_dense else ["embedding"]))
+    dims = space.write(entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "dims")
     added = numbered.count()
-    if old_documents is not None:
-        stored, entries = old_documents.unionByName(stored, allowMissingColumns=True), old_postings.unionByName(entries)
-    clustered = entries.repartitionByRange("dim").sortWithinPartitions("dim", "ordinal")
-    stats = index_statistics(entries, stored, dimension).first().asDict()
-    publish(spark, path, {"documents": stored, "postings": clustered}, {"kind": "sparse-index", "dimension": dimension, "statistics": stats}, overwrite or append)
+    known = [dims] if not append else [dims, _segments(spark, path, head, "dims")]
+    name = f"segment-{start:012d}-{uuid.uuid4().hex[:8]}"
+    head |= {"dimension": dimension, "segments": [*head["segments"], name], "statistics": _statistics(reduce(DataFrame.unionByName, known), dimension, start + added)}
+    stored = numbered.drop("pos", *([] if keep_dense else ["embedding"]))
+    tables = {"documents": stored, "postings": entries.repartitionByRange("dim").sortWithinPartitions("dim", "ordinal"), "dims": dims}
+    if append:
+        for table, df in tables.items():
+            df.write.parquet(f"{path}/{name}/{table}")
+        write_text_atomic(spark, f"{path}/index.json", json.dumps(head, indent=2, ensure_ascii=False) + "\n")
+    else:
+        publish(spark, path, {f"{name}/{k}": v for k, v in tables.items()}, head, overwrite)
+    space.clear()
     return added
 
 
+def _segments(spark: SparkSession, path: str, head: dict, table: str) -> DataFrame:
+    return spark.read.option("mergeSchema", len(head["segments"]) > 1 and table == "documents").parquet(*[f"{path}/{s}/{table}" for s in head["segments"]])
+
+
+def _statistics(dims: DataFrame, dimension: int | None, n_documents: int) -> dict:
+    """Statistics from the segments' counts by dimension, without a look at postings."""
+    sums = dims.agg(F.max("dim"), F.countDistinct("dim"), F.sum("n")).first()
+    top = dimension if dimension is not None else (sums[0] + 1 if sums[0] is not None else 0)
+    return {"document_count": n_documents, "sparse_dimension": top, "active_dimension_count": sums[1], "posting_count": sums[2] or 0}
+
+
+def merge_segments(spark: SparkSession, path: str) -> None:
+    """Makes one segment of all; the former index stays until the new one is complete."""
+    head = head_of(spark, path, "sparse-index")
+    name = f"segment-{0:012d}-{uuid.uuid4().hex[:8]}"
+    tables = {t: _segments(spark, path, head, t) for t in ("documents", "postings", "dims")}
+    tables["postings"] = tables["postings"].repartitionByRange("dim").sortWithinPartitions("dim", "ordinal")
+    tables["dims"] = tables["dims"].groupBy("dim").agg(F.sum("n").alias("n"))
+    publish(spark, path, {f"{name}/{k}": v for k, v in tables.items()}, head | {"segments": [name]}, overwrite=True)
+
+
 def read_sparse_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     """(documents, postings, statistics) of a sparse index; posting ordinals outside its documents raise on reading."""
     head = head_of(spark, path, "sparse-index")
-    entries = spark.read.parquet(f"{path}/postings")
     n = head["statistics"]["document_count"]
-    return spark.read.parquet(f"{path}/documents"), require(entries, (F.col("ordinal") >= 0) & (F.col("ordinal") < n), "a posting's ordinal has no document"), head["statistics"]
+    checked = require(_segments(spark, path, head, "postings"), (F.col("ordinal") >= 0) & (F.col("ordinal") < n), "a posting's ordinal has no document")
+    return _segments(spark, path, head, "documents"), checked, head["statistics"]
 
 
 def write_mapping(mapping: DataFrame, metadata: dict, path: str) -> str:

@@ -95,5 +95,5 @@ def test_salted_keys_change_nothing(spark, monkeypatch):
     docs = [(i, f"k{i % 3}", day(1 + i % 20), None if i % 3 else day(2 + i % 20), None, None) for i in range(60)]
     rels = [(i, "n", f"k{i % 5}", day(1 + i % 28) if i % 7 else None, 0) for i in range(200)]
     plain = found(orphan_cascade(spark, tables(spark, docs, rels, []), KEYS, REFS[:1]))
-    monkeypatch.setattr(references, "heavy_keys_of", lambda df, key: skew.heavy_keys_of(df, key, rows=10))
+    monkeypatch.setattr(references, "heavy_keys_of", lambda df, key: skew.heavy_keys_of(df, key, heavy_rows=10))
     assert found(orphan_cascade(spark, tables(spark, docs, rels, []), KEYS, REFS[:1])) == plain and plain
