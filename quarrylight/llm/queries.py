@@ -23,8 +23,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record of each group of copies with the number of its copies, from the ledger."""
-    return _copies(spark, sf_dir)[0].select("tbl", "kept_key", "copies")
+    """One record of each group of copies with the number of its copies and the one that came first, from the ledger."""
+    return _copies(spark, sf_dir)[0].select("tbl", "kept_key", "copies", "first_key")
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,18 +15,18 @@ list_sort(list_distinct(list_filter(list_transform(
   lambda p: {norm("regexp_extract(p, '^([^:=]*)', 1)")} || '=' || {norm("regexp_extract(p, '(?s)^[^:=]*[:=](.*)$', 1)")}), lambda x: x <> '=')))"""
 
 KEYED = f"""
-  SELECT 'documents' AS tbl, doc_id AS k, form, content FROM documents
-  UNION ALL SELECT 'queries', line_no, form, content FROM queries"""
+  SELECT 'documents' AS tbl, doc_id AS k, form, content, ingested_at AS at_ FROM documents
+  UNION ALL SELECT 'queries', line_no, form, content, received_at FROM queries"""
 
 P2_KEYS = f"""
-SELECT tbl, k, CASE WHEN form = 'fields' THEN 'f' || array_to_string({_FIELDS}, ';') ELSE 'p' || {norm("content")} END AS c
+SELECT tbl, k, at_, CASE WHEN form = 'fields' THEN 'f' || array_to_string({_FIELDS}, ';') ELSE 'p' || {norm("content")} END AS c
 FROM ({KEYED}) WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]')"""
 
 P2_FOUND = f"""
 WITH keys AS ({P2_KEYS}), kept AS (SELECT tbl, c, min(k) AS kept_key FROM keys GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT tbl, kept_key, k AS copy_key FROM keys JOIN kept USING (tbl, c) WHERE k <> kept_key"""
 
-P2_KEPT = f"WITH keys AS ({P2_KEYS}) SELECT tbl, min(k) AS kept_key, count(*) AS copies FROM keys GROUP BY tbl, c"
+P2_KEPT = f"WITH keys AS ({P2_KEYS}) SELECT tbl, min(k) AS kept_key, count(*) AS copies, arg_min(k, {{'t': at_, 'k': k}}) AS first_key FROM keys GROUP BY tbl, c"
 
 P3_FOUND = """
 WITH RECURSIVE r AS (

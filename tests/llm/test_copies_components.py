@@ -25,18 +25,66 @@ def test_copies_of_prose_and_fields(spark):
     assert sorted((r.kept_key, r.copies) for r in ledger.collect()) == [(2, 2), (6, 1), (7, 3), (11, 1), (12, 2), (14, 2)]
 
 
+BATCH = "tbl STRING, row_key BIGINT, key BINARY, at DOUBLE"
+
+
+def state(ledger):
+    return sorted((bytes(r.key), r.copies, r.kept_key, r.first_key) for r in ledger.rows().collect())
+
+
 def test_ledger_batches_are_idempotent_and_survive(spark, tmp_path):
-    schema = "tbl STRING, row_key BIGINT, key BINARY"
-    ledger = copies.CopyLedger(spark, f"file://{tmp_path}/ledger", buckets=4)
-    one = spark.createDataFrame([("t", 5, b"a"), ("t", 6, b"b"), ("t", 7, None)], schema)
+    path = f"file://{tmp_path}/ledger"
+    ledger = copies.CopyLedger(spark, path)
+    one = spark.createDataFrame([("t", 5, b"a", 4.0), ("t", 6, b"b", None), ("t", 7, None, 1.0)], BATCH)
     assert ledger.apply(one, "1") and not ledger.apply(one, "1")
-    again = copies.CopyLedger(spark, f"file://{tmp_path}/ledger", buckets=4)
+    again = copies.CopyLedger(spark, path)
     assert not again.apply(one, "1")
-    assert again.apply(spark.createDataFrame([("t", 3, b"a")] * 3 + [("t", 9, b"c")], schema), "2")
-    assert again.apply(spark.createDataFrame([], schema), "3")
-    assert sorted((bytes(r.key), r.copies, r.kept_key) for r in again.rows().collect()) == [(b"a", 4, 3), (b"b", 1, 6), (b"c", 1, 9)]
-    with pytest.raises(ValueError):
-        copies.CopyLedger(spark, f"file://{tmp_path}/ledger", buckets=5)
+    assert again.apply(spark.createDataFrame([("t", 3, b"a", 9.0)] * 3 + [("t", 9, b"c", 1.0), ("t", 1, b"b", 0.5)], BATCH), "2")
+    assert again.apply(spark.createDataFrame([], BATCH), "3")
+    assert state(again) == [(b"a", 4, 3, 5), (b"b", 2, 1, 6), (b"c", 1, 9, 9)]
+    assert state(copies.CopyLedger(spark, path)) == state(again)
+
+
+def test_ledger_appends_merges_and_grows(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    ledger = copies.CopyLedger(spark, f"file://{tmp_path}/ledger", bucket_rows=20, least_buckets=2, merge_share=0.5)
+    rows, written = [], []
+    for k in range(7):
+        batch = [("t", rng.randrange(10**6), f"k{rng.randrange(30 + 40 * (k == 2))}".encode(), float(rng.randrange(50))) for _ in range(40 if k < 3 else 6)]
+        rows += batch
+        ledger.apply(spark.createDataFrame(batch, BATCH), str(k))
+        written.append((ledger.state["buckets"], len(ledger.state["fresh"])))
+        keys = {r[2] for r in rows}
+        want = sorted((key, sum(r[2] == key for r in rows), min(r[1] for r in rows if r[2] == key), min((r[3], r[1]) for r in rows if r[2] == key)[1]) for key in keys)
+        assert state(ledger) == want
+    assert written[0] == (2, 0) and written[2][0] > 2 and any(f for _, f in written)  # grown buckets; small batches aren't merged at once
+    before = state(ledger)
+    gone = ledger.vacuum()
+    assert gone and state(copies.CopyLedger(spark, f"file://{tmp_path}/ledger")) == before
+    ledger.merge()
+    assert state(ledger) == before and not ledger.state["fresh"]
+
+
+def test_ledger_loses_nothing_to_a_crash(spark, tmp_path, monkeypatch):
+    from quarrylight import session
+
+    path = f"file://{tmp_path}/ledger"
+    ledger = copies.CopyLedger(spark, path)
+    ledger.apply(spark.createDataFrame([("t", 1, b"a", 0.0)], BATCH), "1")
+    before = state(ledger)
+    with monkeypatch.context() as m:
+        m.setattr(session, "_rename", lambda fs, a, b: False)
+        with pytest.raises(OSError):
+            ledger.apply(spark.createDataFrame([("t", 2, b"a", 0.0)], BATCH), "2")
+    again = copies.CopyLedger(spark, path)
+    assert state(again) == before
+    assert again.apply(spark.createDataFrame([("t", 2, b"a", 0.0)], BATCH), "2") and state(again) == [(b"a", 2, 1, 1)]
+    for m in tmp_path.joinpath("ledger").glob("manifest-*"):
+        m.unlink()
+    with pytest.raises(ValueError, match="no manifest"):
+        copies.CopyLedger(spark, path)
 
 
 def brute(edges):
@@ -90,3 +138,15 @@ def test_shares_hold_with_a_hot_group(spark):
     for split, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
         assert abs(sum(r.split_name == split for r in got) / 9000 - share) < 0.02
     assert {r.split_name for r in components.assign_splits(groups.limit(3), targets.limit(0)).collect()} == {None}
+
+
+def test_fixed_ranges_don_t_move_with_the_data(spark):
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.1), ("validation", 0.1)], "split_name STRING, target_share DOUBLE")
+    rows = [(k, f"need{k % 400}", f"id{k}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "line_no BIGINT, IN STRING, id STRING")
+    place = lambda d: {r.row_key: r.split_name for r in components.assign_splits(components.related_groups(spark, d, "line_no", "IN", "id"), targets, fixed=True).collect()}
+    some, every = place(df.where("line_no % 400 < 100")), place(df)
+    assert all(every[k] == v for k, v in some.items()) and len({every[k] for k in range(400)}) == 3
+    assert all(every[k] == every[k % 400] for k in every)
+    share = sum(v == "train" for v in every.values()) / len(every)
+    assert abs(share - 0.8) < 0.06
