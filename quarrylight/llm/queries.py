@@ -74,6 +74,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, sf_dir, "documents"))
 
 
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many units break each rule: of every text, and of long texts made of 200 neighbours each, which have to be cut as their parts are."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("form", F.lit("")).alias("form"))
+    return sentences.unit_violations(documents, per_text=200)
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     prose = _table(spark, sf_dir, "documents").where("form = 'prose'")
     return near_duplicates.near_duplicates(spark, prose, "doc_id", "content")
@@ -114,5 +120,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p4_violations, p5_found, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p4_violations, p5_found, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found, p8_violations)
 }

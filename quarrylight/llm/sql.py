@@ -58,4 +58,7 @@ P4_VIOLATIONS = """
 SELECT rule, 0::BIGINT AS n FROM (VALUES ('text without pieces'), ('over the limit'), ('other than the text'), ('wrong overlap'), ('end not reached'),
   ('cut inside a word with a boundary in reach')) r(rule)"""
 
-SQL = {"p4_violations": P4_VIOLATIONS, "p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+P8_VIOLATIONS = """
+SELECT rule, 0::BIGINT AS n FROM (VALUES ('empty or blank'), ('beyond the text'), ('white space around'), ('overlap'), ('text outside of units'), ('long text cut otherwise')) r(rule)"""
+
+SQL = {"p8_violations": P8_VIOLATIONS, "p4_violations": P4_VIOLATIONS, "p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}

@@ -13,11 +13,70 @@ from quarrylight.llm import near_duplicates as nd, pieces, sentences
 from quarrylight.llm.transducer import Transducer
 
 
-@given(st.lists(st.integers(0, 8), max_size=300), st.integers(1, 40))
-@settings(max_examples=100, deadline=None)
-def test_chunks_compose_to_the_whole(symbols, chunk):
+@given(st.lists(st.lists(st.integers(0, 9), max_size=70), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_stretches_compose_to_the_whole(stretches):
     rules: Transducer = sentences.RULES
-    assert rules.run_chunked(symbols, chunk) == rules.run(symbols, rules.start)[0]
+    whole = [x for stretch in stretches for x in stretch]
+    begins = np.cumsum([0, *map(len, stretches)])
+    found = [int(begins[k] + i) for k, part in enumerate(rules.run_stretches(stretches)) for i in part]
+    assert found == rules.run(whole, rules.start)[0]
+    if whole:
+        ends = [s for s in range(len(rules.step)) if rules.run(whole, s)[1] != rules.function(np.array(whole))[s]]
+        assert ends == []
+
+
+BITS = ["Dr. ", "word ", "Word ", "\n", "\n\n", "“", "”", "(", ")", "! ", "? ", ". ", "...", "。", "「", "」", "5. ", "- ", "z. B. ", "etc. ", '"', "«", "»", " p.m. ", "3.", "`a. b`", "α;", "ก ข", "a.b", "Aa.Bb", "\r\n", " \n"]
+
+
+@given(st.lists(st.sampled_from(BITS), min_size=1, max_size=120), st.integers(1, 60), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_chunks_of_characters_change_nothing(bits, chunk, fields):
+    text = "".join(bits)
+    whole = sentences.units(text, fields)
+    assert sentences.units(text, fields, chunk=chunk) == whole
+    parts = list(sentences._rows(text, chunk))
+    assert "".join(t for _, t in parts) == text
+    assert [(s + o, e + o) for o, t in parts for s, e in sentences.units(t, fields)] == whole
+
+
+GENERAL = [  # sentences of no table: titles, ranks, places, degrees, initials, units, numbers
+    ["Gen. Smith met Col. Brown and Sen. White in Wash. on Jan. 5.", "They left."],
+    ["Mt. Everest is high.", "Ft. Worth is hot."],
+    ["El Ing. Pérez no."],
+    ["He met Lt. Gen. Park.", "They spoke."],
+    ["She has a Ph.D. from M.I.T. and works at Acme Inc. in N.Y.", "He doesn't."],
+    ["The U.S. Army came.", "It left."],
+    ["Das Werk (vgl. Bd. 3, S. 12 ff.) ist gut.", "Am 3. Okt. kam er.", "Evtl. später."],
+    ["Le Dr. Martin et Mme. Petit sont là.", "Ils partent."],
+    ["В 1999 г. он уехал.", "Ул. Ленина, д. 5, кв. 7.", "Всё."],
+    ["Vol. IV is out.", "See no. 5.", "No.", "I said so."],
+    ["It cost $3.50.", "Really?", "Yes!"],
+    ["Use Node.js today.", "The file main.py is big."],
+    ["J. R. R. Tolkien wrote it.", "It was long."],
+]
+
+
+@pytest.mark.parametrize("wanted", GENERAL)
+def test_sentences_in_general(wanted):
+    text = " ".join(wanted)
+    assert [text[a:b] for a, b in sentences.units(text)] == wanted
+
+
+@pytest.mark.parametrize("n", [20, 60, 2000])
+def test_long_quotations_stay_whole(n):
+    text = "He said: “" + "It is a nice day for all of us. " * n + "” and left. Then rain."
+    got = [text[a:b] for a, b in sentences.units(text)]
+    assert len(got) == 2 and got[1] == "Then rain."
+
+
+def test_compiled_rules_are_the_rules():
+    from itertools import product
+
+    from quarrylight.llm import boundaries as b
+
+    for kinds in list(product(*map(range, b._SIZES)))[::37]:
+        assert b.look_up(*kinds) == b._rule(*kinds[:6], bool(kinds[6]))
 
 
 UNITS = {
@@ -70,6 +129,10 @@ def test_sentence_rows(spark):
     got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.sentence_units(df).collect())
     assert got == [(1, 1, 5), (1, 7, 11), (4, 0, 4), (4, 0, 4), (4, 5, 9), (4, 5, 9), (5, 0, 3)]
     assert sentences.sentence_units(df.limit(0)).count() == 0
+    long = "One two. “Three. Four.” five.\n \n" * 400 + "Ab cd. Ef gh! " * 3000
+    many = spark.createDataFrame([(7, long, None, 0), (8, "Ab. Cd.", None, 0)], df.schema)
+    got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.sentence_units(many, row_chars=500).collect())
+    assert got == [(7, a, b) for a, b in sentences.units(long)] + [(8, 0, 3), (8, 4, 7)] and len(got) > 4096
 
 
 @given(st.text(alphabet="ab .\n#-。", max_size=600), st.integers(20, 80), st.integers(0, 19))
