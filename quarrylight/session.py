@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -143,6 +144,8 @@ def read_bytes(spark: SparkSession, path: str) -> bytes | None:
     stream = fs.open(found)
     try:
         return bytes(stream.readAllBytes())
+    except Py4JJavaError as error:
+        raise OSError(f"cannot read {path}: {error.java_exception.getMessage()}") from error
     finally:
         stream.close()
 

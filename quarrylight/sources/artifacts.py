@@ -1,25 +1,36 @@
-"""Names, manifests and discovery of the artifacts of runs; small JSON files of the driver."""
+"""Runs and their artifacts: folders of any Hadoop file system, each with one description.
+
+A run is a folder below a root. ``resolved.json`` holds the configuration it was begun with;
+``run.json``, written last, says that it is complete, what it made and from what. So a run
+that died is never found, and everything of a run lies in one place, on a cluster too.
+"""
 
 from __future__ import annotations
 
-import platform
+import importlib.metadata
+import json
 import re
 import subprocess
-from datetime import UTC, datetime
-from pathlib import Path
+import sys
+import time
+from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from quarrylight import __version__
-from quarrylight.sources.records import file_sha256, read_json, sha256_text, to_jsonable, write_json
+from quarrylight.session import _path, list_names, read_text, write_text_atomic
+from quarrylight.sources.records import path_sha256, sha256_text, to_jsonable
 
-#: Characters that a name of a run, index or mapping can't have; fixed values.
-FORBIDDEN = set('/\\:*?"<>|')
+#: The characters that a name of a run, index or mapping can't have.
+FORBIDDEN = r'/\:*?"<>|'
+COMPLETE, CONFIG = "run.json", "resolved.json"
 
 
 def valid_name(name: Any, what: str = "run id") -> str:
-    """A name that is one safe folder name; raises otherwise."""
-    text = str(name).strip() if name is not None else ""
-    if not text or text in (".", "..") or FORBIDDEN & set(text):
+    """A name that is one safe folder name, without surrounding white space; raises otherwise."""
+    text = "" if name is None else str(name).strip()
+    if text in (".", "..") or not re.fullmatch(f"[^{re.escape(FORBIDDEN)}]+", text):
         raise ValueError(f"{what} must be one folder name, not {name!r}")
     return text
 
@@ -29,44 +40,84 @@ def slugify(text: str, fallback: str = "run") -> str:
     return re.sub(r"[^A-Za-z0-9._-]+", "-", text).strip("-._") or fallback
 
 
-def reserve(root: str | Path, name: str, config: dict) -> Path:
-    """Makes a run's folder, which must not exist, and writes its resolved configuration there."""
-    folder = Path(root) / valid_name(name)
-    folder.mkdir(parents=True, exist_ok=False)
-    write_json(folder / "config.json", config)
-    return folder
+def _json(value: Any) -> str:
+    return json.dumps(to_jsonable(value), ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+
+
+@dataclass(frozen=True)
+class Run:
+    """One run below a root folder."""
+
+    spark: SparkSession
+    root: str
+    name: str
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "name", valid_name(self.name))
+
+    def at(self, *parts: str) -> str:
+        return "/".join([self.root.rstrip("/"), self.name, *parts])
+
+    def begin(self, config: dict) -> Run:
+        """Claims the folder, which must not exist, and writes the resolved configuration."""
+        folder, fs = _path(self.spark, self.at())
+        if fs.exists(folder):
+            raise FileExistsError(self.at())
+        fs.mkdirs(folder)
+        write_text_atomic(self.spark, self.at(CONFIG), _json(config))
+        return self
 
+    def put(self, name: str, value: Any) -> str:
+        """Writes a value as JSON into the folder and returns its path."""
+        write_text_atomic(self.spark, self.at(name), _json(value))
+        return self.at(name)
 
-def write_manifest(folder: str | Path, stage: str, artifacts: dict[str, Any], inputs: dict[str, Any], config: dict, experiment: str | None = None) -> Path:
-    """What a run made, of what, with which configuration and code."""
-    commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False).stdout.strip() or None
-    seen = {k: {"path": str(v), "sha256": file_sha256(v) if Path(str(v)).is_file() else None} for k, v in inputs.items()}
-    body = {
-        "schema_version": 1, "stage": stage, "created_at": datetime.now(UTC).isoformat(), "artifacts": to_jsonable(artifacts), "inputs": seen,
-        "config_sha256": sha256_text(str(to_jsonable(config))), "git_commit": commit, "package_version": __version__, "python": platform.python_version(),
-    }
-    return write_json(Path(folder) / "manifest.json", body | ({"experiment": experiment} if experiment else {}))
+    def complete(self, stage: str, artifacts: dict[str, str], inputs: dict[str, str] | None = None, experiment: str | None = None) -> dict:
+        """Describes and thereby completes the run; inputs that are files are named with their digest."""
+        config = read_text(self.spark, self.at(CONFIG)) or ""
+        about = {
+            "stage": stage, "made": artifacts, "from": {k: _origin(self.spark, str(v)) for k, v in (inputs or {}).items()},
+            "config_sha256": sha256_text(config), "at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "code": _code_version(),
+        }
+        if experiment:
+            about["experiment"] = experiment
+        self.put(COMPLETE, about)
+        return about
 
+    def about(self) -> dict:
+        """The description of a completed run; raises where there is none."""
+        text = read_text(self.spark, self.at(COMPLETE))
+        if text is None:
+            raise FileNotFoundError(f"no completed run {self.name!r} below {self.root}")
+        return json.loads(text)
 
-def discover(root: str | Path, requires: str = "manifest.json", **matches: Any) -> list[str]:
-    """Sorted names of the folders below ``root`` that are complete and whose manifest has the given values."""
+    def artifact(self, name: str) -> str:
+        """The path of an artifact of exactly this run."""
+        made = self.about().get("made") or {}
+        if name not in made:
+            raise KeyError(f"run {self.name!r} made no {name!r}")
+        return made[name]
+
+
+def _origin(spark: SparkSession, path: str) -> dict:
+    found, fs = _path(spark, path)
+    return {"path": path, "sha256": path_sha256(spark, path) if fs.exists(found) and fs.getFileStatus(found).isFile() else None}
+
+
+def _code_version() -> dict:
+    versions = {p: importlib.metadata.version(p) for p in ("pyspark", "numpy", "pyarrow")}
+    head = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    return {"quarrylight": __version__, "python": sys.version.split()[0], **versions, "commit": head.stdout.strip() or None}
+
+
+def discover(spark: SparkSession, root: str, **matches: Any) -> list[str]:
+    """Sorted names of the completed runs below ``root`` whose description has the given values; damaged ones are passed over."""
     out = []
-    for folder in sorted(Path(root).glob("*")) if Path(root).is_dir() else []:
+    for name in list_names(spark, root):
         try:
-            body = read_json(folder / requires)
-            if isinstance(body, dict) and all(body.get(k) == v for k, v in matches.items()):
-                out.append(folder.name)
+            about = Run(spark, root, name).about()
         except (OSError, ValueError):
             continue
+        if isinstance(about, dict) and all(about.get(k) == v for k, v in matches.items()):
+            out.append(name)
     return out
-
-
-def artifact_of(root: str | Path, run: str, artifact: str) -> Path:
-    """The path of one artifact of exactly this run; raises where either is missing."""
-    path = Path(root) / valid_name(run) / "manifest.json"
-    if not path.is_file():
-        raise FileNotFoundError(f"no run {run!r} below {root}")
-    found = read_json(path).get("artifacts", {}).get(artifact)
-    if not found:
-        raise KeyError(f"run {run!r} has no artifact {artifact!r}")
-    return Path(found)

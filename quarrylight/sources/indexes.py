@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,6 +79,21 @@ def read_dense_index(spark: SparkSession, path: str, embeddings: bool = True) ->
     return documents if embeddings else documents.drop("embedding"), head["similarity"]
 
 
+def write_text_index(documents: DataFrame, path: str, overwrite: bool = False) -> int:
+    """Stores documents (id, content, ...) for lexical search; returns their number. A repeated id raises."""
+    spark = documents.sparkSession
+    if duplicate_ids(documents, "id").limit(1).count():
+        raise ValueError("a document id occurs more than once")
+    publish(spark, path, {"documents": documents}, {"kind": "text-index"}, overwrite)
+    return spark.read.parquet(f"{path}/documents").count()
+
+
+def read_text_index(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a text index."""
+    head_of(spark, path, "text-index")
+    return spark.read.parquet(f"{path}/documents")
+
+
 def write_sparse_index(documents: DataFrame, path: str, dimension: int | None = None, append: bool = False, overwrite: bool = False, keep_dense: bool = False) -> int:
     """Stores documents (id, sparse, pos, ...) as documents, postings and statistics; returns how many this call added.
 
@@ -158,20 +174,24 @@ def read_mapping(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/mapping"), head
 
 
-def write_to_search_engine(documents: DataFrame, connect, index_name: str, content: str = "content", meta: str = "meta", refresh: bool = False) -> None:
-    """Sends every document to a search engine, partition by partition, through an injected client.
+def write_to_search_engine(documents: DataFrame, connect, index_name: str, content: str = "content", meta: str = "meta", refresh: bool = False, batch: int = 500) -> None:
+    """Sends all documents to a search engine, partition by partition in bulks, through an injected client.
 
-    ``connect`` makes a client with ``index(index, id, document, refresh)``; it runs once per
-    partition. Ids name the entries, so a repeated task writes the same.
+    ``connect`` makes a client with ``bulk(index, documents, refresh)``, documents being (id,
+    body) pairs, at most ``batch`` at a time; it runs once per partition. Ids name the entries,
+    so a repeated task writes the same.
     """
     columns = [c for c in ("id", content, meta, "embedding") if c in documents.columns]
 
+    def body(row) -> tuple[str, dict]:
+        out = {content: row[content], meta: json.loads(row[meta]) if meta in columns and row[meta] else {}}
+        if "embedding" in columns and row["embedding"] is not None:
+            out["embedding"] = list(row["embedding"])
+        return row["id"], out
+
     def send(rows) -> None:
-        client = connect()
-        for row in rows:
-            body = {content: row[content], meta: json.loads(row[meta]) if meta in columns and row[meta] else {}}
-            if "embedding" in columns and row["embedding"] is not None:
-                body["embedding"] = list(row["embedding"])
-            client.index(index=index_name, id=row["id"], document=body, refresh=refresh)
+        client, rows = connect(), iter(rows)
+        while bulk := [body(r) for r in islice(rows, batch)]:
+            client.bulk(index=index_name, documents=bulk, refresh=refresh)
 
     documents.select(*columns).foreachPartition(send)

@@ -9,9 +9,10 @@ import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quarrylight.schemas import DOCUMENT, QREL, QUERY, record_problem, require
+from quarrylight.session import _path
 
 BLANK = r"^[\s\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]*$"
 
@@ -52,42 +53,60 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value): all lines of one text file with their numbers from 1, blank ones too.
+
+    The parts of a file follow each other as it is read, so the sizes of the parts (one row
+    each) give the offsets.
+    """
+    lines = spark.read.text(path).select(F.col("value"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    sizes = {r["_part"]: r["count"] for r in lines.groupBy("_part").count().collect()}
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part] = total
+        total += sizes[part]
+    pairs = [F.lit(x) for p in before.items() for x in p] or [F.lit(0), F.lit(0)]
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select((F.element_at(F.create_map(*pairs), F.col("_part")) + within + 1).alias("line_no"), "value")
+
+
+def record_problems(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(line_no, problem, value): the lines of a file that are no strict records of a kind; blank lines are none."""
+    found = numbered_lines(spark, path).where(~F.col("value").rlike(BLANK)).withColumn("problem", record_problem(F.col("value"), kind))
+    return found.where("problem IS NOT NULL").select("line_no", "problem", "value")
+
+
 def batch_plan(spark: SparkSession, path: str, batch_size: int) -> dict[str, Any]:
     """What an indexing run reports of its input: documents, batches, and the SHA-256 of the whole file.
 
-    A repeated document id raises.
+    The first line that is no document raises with its number, a repeated document id too.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
+    if bad := record_problems(spark, path, "document").orderBy("line_no").first():
+        raise ValueError(f"line {bad['line_no']} of {path}: {bad['problem']}")
     ids = read_records(spark, path, "document").select("id")
     twice = ids.groupBy("id").count().where("count > 1").first()
     if twice:
         raise ValueError(f"document id {twice['id']!r} occurs more than once")
     n = ids.count()
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).first()["d"] if _bytes(spark, path) < 1 << 30 else file_sha256(path)
-    return {"document_count": n, "batch_count": -(-n // batch_size), "sha256": digest}
-
+    return {"document_count": n, "batch_count": -(-n // batch_size), "sha256": path_sha256(spark, path)}
 
-def _bytes(spark: SparkSession, path: str) -> int:
-    from quarrylight.session import _path
 
+def path_sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any Hadoop file system, streamed by the JVM whatever its size."""
     found, fs = _path(spark, path)
-    return fs.getContentSummary(found).getLength()
+    stream = fs.open(found)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def sha256_text(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def file_sha256(path: str | Path, chunk: int = 1 << 20) -> str:
-    """SHA-256 of a local file, read in chunks."""
-    digest = hashlib.sha256()
-    with Path(str(path).removeprefix("file://")).open("rb") as f:
-        while part := f.read(chunk):
-            digest.update(part)
-    return digest.hexdigest()
-
-
 def to_jsonable(value: Any) -> Any:
     """A value as JSON can hold it: sets and tuples as lists, keys and paths as text, objects by ``to_dict``."""
     if hasattr(value, "to_dict"):
@@ -126,19 +145,29 @@ def read_yaml_mapping(path: str | Path) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+def _mapping_problem(line: Column) -> Column:
+    """Why a line is no ``{id, meta}`` with a non-empty text and an object; null if it is."""
+    keys, ident = F.json_object_keys(line), F.get_json_object(line, "$.id")
+    problem = F.when(keys.isNull(), F.lit("no JSON object")).when(F.array_sort(keys) != F.array(F.lit("id"), F.lit("meta")), F.lit("fields are not id and meta"))
+    problem = problem.when(F.coalesce(ident, F.lit("")) == "", F.lit("empty id")).when(F.json_object_keys(F.get_json_object(line, "$.meta")).isNull(), F.lit("meta is no object"))
+    return problem.when(~line.rlike(r'"id"\s*:\s*"'), F.lit("id is no string"))
+
+
+def mapping_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, problem): the lines of a metadata mapping that are none, and those that repeat an id."""
+    lines = numbered_lines(spark, path).where(~F.col("value").rlike(BLANK)).withColumn("problem", _mapping_problem(F.col("value")))
+    first = F.min("line_no").over(Window.partitionBy(F.get_json_object("value", "$.id")))
+    again = lines.where("problem IS NULL").withColumn("_first", first).where("line_no > _first").select("line_no", F.lit("repeated id").alias("problem"))
+    return lines.where("problem IS NOT NULL").select("line_no", "problem").unionByName(again)
+
+
 def read_metadata_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(id, meta) of a JSONL file of ``{id, meta}``; meta stays JSON text.
 
     Raises on reading for a bad line, a missing, empty or repeated id, a meta that is no
-    object, or another field.
+    object, or another field. :func:`mapping_problems` gives the numbers of all such lines.
     """
-    lines = read_lines(spark, path)
-    keys = F.json_object_keys("value")
-    ident = F.get_json_object("value", "$.id")
-    problem = F.when(keys.isNull(), F.lit("no JSON object")).when(F.array_sort(keys) != F.array(F.lit("id"), F.lit("meta")), F.lit("fields are not id and meta"))
-    problem = problem.when(F.coalesce(ident, F.lit("")) == "", F.lit("empty id")).when(F.json_object_keys(F.get_json_object("value", "$.meta")).isNull(), F.lit("meta is no object"))
-    problem = problem.when(~F.col("value").rlike(r'"id"\s*:\s*"'), F.lit("id is no string"))
-    checked = require(lines.withColumn("_p", problem), F.col("_p").isNull(), F.concat("_p", F.lit(": "), F.substring("value", 1, 80)))
+    checked = require(read_lines(spark, path).withColumn("_p", _mapping_problem(F.col("value"))), F.col("_p").isNull(), F.concat("_p", F.lit(": "), F.substring("value", 1, 80)))
     rows = checked.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.meta").alias("meta"))
     each = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("meta").alias("meta"))
     return require(each, F.col("_n") == 1, F.concat(F.lit("repeated id "), F.col("id"))).select("id", "meta")

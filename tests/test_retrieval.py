@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.operators import ccsa, dense, lexical, mapping, models, sparse
+from quarrylight import session
+from quarrylight.operators import cascade, ccsa, dense, lexical, mapping, models, sparse
 from quarrylight.plans import config, graph, stages
 from quarrylight.sources import artifacts, benchmark, indexes, predictions as preds
 from quarrylight.streaming import indexing
@@ -15,27 +17,30 @@ DOCS = "id STRING, content STRING, source_document_id STRING, embedding ARRAY<FL
 
 
 def vectors(spark):
-    return spark.createDataFrame([("near", "n", None, [1.0, 0.0], 0), ("far", "f", None, [0.0, 1.0], 1), ("zero", "z", "s", [0.0, 0.0], 2)], DOCS)
+    rows = [("north", None, [0.0, 2.0], 0), ("east", "", [3.0, 0.0], 1), ("northeast", "map", [1.0, 1.0], 2), ("still", "map", [0.0, 0.0], 3)]
+    return spark.createDataFrame([(n, n, owner, v, pos) for n, owner, v, pos in rows], DOCS)
 
 
 def queries(spark):
-    return spark.createDataFrame([("q", [0.9, 0.1]), ("z", [0.0, 0.0])], "query_id STRING, embedding ARRAY<FLOAT>")
+    return spark.createDataFrame([("walk", [1.0, 0.2]), ("stand", [0.0, 0.0])], "query_id STRING, embedding ARRAY<FLOAT>")
 
 
 def test_dense(spark):
-    got = [(r.query_id, r.rank, r.id) for r in dense.dense_retrieve(queries(spark), vectors(spark), 2).orderBy("query_id", "rank").collect()]
-    assert got == [("q", 1, "near"), ("q", 2, "far"), ("z", 1, "zero"), ("z", 2, "near")]
-    blocks = dense.dense_retrieve(queries(spark), vectors(spark), 2, block_bytes=1)
-    assert [(r.query_id, r.rank, r.id) for r in blocks.orderBy("query_id", "rank").collect()] == got
-    candidates = spark.createDataFrame([("q", "s"), ("q", "far"), ("q", "far"), ("q", None)], "query_id STRING, document_id STRING")
-    some = dense.dense_retrieve_candidates(queries(spark), vectors(spark), candidates, 5)
-    assert [(r.query_id, r.id) for r in some.orderBy("rank").collect()] == [("q", "far"), ("q", "zero")]
-    assert dense.dense_retrieve_candidates(queries(spark), vectors(spark), candidates.limit(0)).count() == 0
+    found = lambda df: [(r.query_id, r.rank, r.id) for r in df.orderBy("query_id", "rank").collect()]
+    wanted = [("stand", 1, "still"), ("stand", 2, "northeast"), ("walk", 1, "east"), ("walk", 2, "northeast")]
+    assert found(dense.dense_retrieve(queries(spark), vectors(spark), 2)) == wanted
+    assert found(dense.dense_retrieve(queries(spark), vectors(spark), 2, block_bytes=1)) == wanted
+    asked = spark.createDataFrame([("walk", "map"), ("walk", "north"), ("walk", "north"), ("walk", None)], "query_id STRING, document_id STRING")
+    some = dense.dense_retrieve_candidates(queries(spark), vectors(spark), asked, 5)
+    assert found(some) == [("walk", 1, "northeast"), ("walk", 2, "north"), ("walk", 3, "still")]
+    assert dense.dense_retrieve_candidates(queries(spark), vectors(spark), asked.limit(0)).count() == 0
     assert dense.dense_retrieve(queries(spark).limit(0), vectors(spark)).count() == 0 and dense.dense_retrieve(queries(spark), vectors(spark).limit(0)).count() == 0
     with pytest.raises(ValueError):
         dense.dense_retrieve(queries(spark), vectors(spark), 0)
-    with pytest.raises(Exception, match="no embedding"):
-        dense.dense_retrieve(queries(spark), vectors(spark).withColumn("embedding", F.lit(None).cast("array<float>"))).collect()
+    missing, ragged, holed = F.lit(None).cast("array<float>"), F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(None).cast("double"))
+    for bad in (missing, ragged, holed):
+        with pytest.raises(Exception, match="no embedding"):
+            dense.dense_retrieve(queries(spark), vectors(spark).withColumn("embedding", F.when(F.col("id") == "east", bad).otherwise(F.col("embedding")))).collect()
 
 
 def test_dense_against_numpy(spark):
@@ -53,7 +58,7 @@ def test_dense_against_numpy(spark):
 
 def test_stable_reranking(spark):
     pairs = vectors(spark).withColumns({"query_id": F.lit("q"), "query_embedding": F.array(F.lit(1.0), F.lit(1.0))})
-    assert [r.id for r in dense.rank_candidates(pairs).orderBy("rank").collect()] == ["near", "far", "zero"]
+    assert [r.id for r in dense.rank_candidates(pairs).orderBy("rank").collect()] == ["northeast", "north", "east", "still"]
     with pytest.raises(Exception, match="wrong dimension"):
         dense.rank_candidates(pairs.withColumn("query_embedding", F.array(F.lit(1.0)))).collect()
 
@@ -61,26 +66,52 @@ def test_stable_reranking(spark):
 SPARSE = "ordinal BIGINT, id STRING, source_document_id STRING, sparse STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>>"
 
 
+def sparse_tables(spark):
+    rng = random.Random(17)
+    vector = lambda n: (d := sorted(rng.sample(range(30), n)), [rng.choice([-1.5, 0.25, 0.5, 2.0, 3.0]) for _ in d])
+    docs = [(i, f"u{i}", rng.choice([None, "", f"book{i % 5}"]), vector(rng.randrange(1, 9))) for i in range(40)]
+    asked = [(f"q{i}", vector(rng.randrange(1, 6))) for i in range(7)]
+    return docs, asked, spark.createDataFrame(docs, SPARSE), spark.createDataFrame(asked, "query_id STRING, sparse STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>>")
+
+
 def test_sparse(spark):
-    docs = spark.createDataFrame([(0, "doc-1", None, ([0, 2], [1.0, 1.0])), (1, "doc-2", "", ([1, 2], [1.0, 1.0])), (2, "chunk-3", "doc-3", ([0, 3], [1.0, 1.0]))], SPARSE)
-    q = spark.createDataFrame([("q", ([0, 2], [1.0, 0.5]))], "query_id STRING, sparse STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>>")
-    entries = sparse.postings(docs)
-    got = [(r.id, r.score) for r in sparse.sparse_retrieve(q, entries, docs).orderBy("rank").collect()]
-    assert got == [("doc-1", 1.5), ("chunk-3", 1.0), ("doc-2", 0.5)]
-    stats = sparse.index_statistics(entries, docs).first()
-    assert (stats.document_count, stats.sparse_dimension, stats.active_dimension_count, stats.posting_count) == (3, 4, 4, 6)
-    assert [r.id for r in sparse.sparse_retrieve(q, entries, docs, min_score=0.5).orderBy("rank").collect()] == ["doc-1", "chunk-3"]
-    some = spark.createDataFrame([("q", "doc-3"), ("q", "doc-2")], "query_id STRING, document_id STRING")
-    assert [r.id for r in sparse.sparse_retrieve(q, entries, docs, candidates=some).orderBy("rank").collect()] == ["chunk-3", "doc-2"]
-    assert sparse.sparse_retrieve(q, entries, docs, candidates=some.limit(0)).count() == 3
-    more = q.union(q.withColumn("query_id", F.lit("p"))).union(q.withColumn("query_id", F.lit("r")))
-    assert [(r.query_id, r.id) for r in sparse.sparse_retrieve(more, entries, docs, 1, block=1).orderBy("query_id").collect()] == [("p", "doc-1"), ("q", "doc-1"), ("r", "doc-1")]
-    assert {r.ordinal: (r.sparse["indices"], r.sparse["values"]) for r in sparse.sparse_from_postings(entries).collect()}[2] == ([0, 3], [1.0, 1.0])
+    docs, asked, d, q = sparse_tables(spark)
+    entries = sparse.postings(d)
+    owner = {o: src or name for o, name, src, _ in docs}
+
+    def brute(k, least=0.0, listed=None):
+        out = {}
+        for name, (dims, weights) in asked:
+            own = dict(zip(dims, weights, strict=True))
+            scores = {o: round(sum(own[x] * w for x, w in zip(*v, strict=True) if x in own), 9) for o, _, _, v in docs if set(v[0]) & set(dims)}
+            mine = {o for o in scores if scores[o] > least and (not (listed or {}).get(name) or owner[o] in listed[name])}
+            out[name] = [(f"u{o}", scores[o]) for o in sorted(mine, key=lambda o: (-scores[o], o))[:k]]
+        return {n: v for n, v in out.items() if v}
+
+    def lists(df):
+        out = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.id, r.score))
+        return out
+
+    for documents in (d, d.drop("sparse")):  # by the stored vectors, and put together from postings
+        assert lists(sparse.sparse_retrieve(q, entries, documents, 5)) == brute(5)
+        assert lists(sparse.sparse_retrieve(q, entries, documents, 50, min_score=1.0, block=2)) == brute(50, 1.0)
+        carried = {r.id: r.sparse for r in sparse.sparse_retrieve(q, entries, documents, 3, with_vectors=True).collect()}
+        assert carried and all((v["indices"], v["values"]) == docs[int(name[1:])][3] for name, v in carried.items())
+    listed = {"q0": {"book1", "u3", "nowhere"}, "q1": {"nowhere"}, "q2": {"book0", "book2"}}
+    some = spark.createDataFrame([(n, x) for n, xs in listed.items() for x in xs] + [("q3", None)], "query_id STRING, document_id STRING")
+    assert lists(sparse.sparse_retrieve(q, entries, d, 5, candidates=some)) == brute(5, 0.0, listed)
+    assert sparse.sparse_retrieve(q.limit(0), entries, d).count() == 0 and sparse.sparse_retrieve(q, entries.limit(0), d.limit(0)).count() == 0
+    stats = sparse.index_statistics(entries, d).first()
+    used = [x for *_, v in docs for x in v[0]]
+    assert (stats.document_count, stats.sparse_dimension, stats.active_dimension_count, stats.posting_count) == (40, max(used) + 1, len(set(used)), len(used))
+    assert {r.ordinal: (r.sparse["indices"], r.sparse["values"]) for r in sparse.sparse_from_postings(entries).collect()} == {o: v for o, _, _, v in docs}
     for bad in (([0, 0], [1.0, 1.0]), ([-1], [1.0]), ([1], [0.0]), ([1], [float("nan")]), ([1, 2], [1.0])):
         with pytest.raises(Exception, match="invalid sparse"):
             sparse.postings(spark.createDataFrame([(0, "x", None, bad)], SPARSE)).collect()
     with pytest.raises(Exception, match="beyond"):
-        sparse.postings(docs, 3).collect()
+        sparse.postings(d, 12).collect()
     numbered = sparse.with_ordinal(spark.range(1000).withColumn("k", F.md5(F.col("id").cast("string"))), "k", start=5).collect()
     assert [r.id for r in sorted(numbered, key=lambda r: r.ordinal)] == [r.id for r in sorted(numbered, key=lambda r: r.k)] and {r.ordinal for r in numbered} == set(range(5, 1005))
 
@@ -187,7 +218,13 @@ def test_models(spark):
     assert [r.id for r in best] == ["2", "1"] and best[0].score == pytest.approx(1 / (1 + np.exp(-3)))
 
 
-def test_autoencoder(spark, tmp_path):
+def failing_at(n):
+    """A renaming that fails at its n-th call."""
+    calls = iter(range(1, 100))
+    return lambda fs, a, b: False if next(calls) == n else fs.rename(a, b)
+
+
+def test_autoencoder(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(4, 6)) * 3
     x = centres[rng.integers(0, 4, 400)] + rng.normal(size=(400, 6)) * 0.1
@@ -195,13 +232,24 @@ def test_autoencoder(spark, tmp_path):
     assert history[-1]["reconstruction_loss"] < history[0]["reconstruction_loss"] / 2 and len(history) == 30
     codes = model.encode(x)
     assert codes.shape == (400, 2) and (codes[:, 0] < 4).all() and (codes[:, 1] >= 4).all() and (codes[:, 1] < 8).all()
-    path = ccsa.save_checkpoint(model, tmp_path / "m.npz", {"note": 1})
-    again = ccsa.load_checkpoint(path)
+    path = f"file://{tmp_path}/models/small"
+    ccsa.write_model(spark, model, path, {"note": 1})
+    again = ccsa.read_model(spark, path)
     assert (again.encode(x) == codes).all() and again.decode(again.one_hot(codes)).shape == x.shape
+    assert again.weights.keys() == model.weights.keys() and all((again.weights[k] == v).all() for k, v in model.weights.items())
     with pytest.raises(FileExistsError):
-        ccsa.save_checkpoint(model, path)
+        ccsa.write_model(spark, model, path)
+    with monkeypatch.context() as m:
+        m.setattr(session, "_rename", failing_at(3))  # two arrays of files are there, the folder isn't yet in its place
+        with pytest.raises(OSError):
+            ccsa.write_model(spark, ccsa.Autoencoder.create(6, 1, 2), path, overwrite=True)
+    assert (ccsa.read_model(spark, path).encode(x) == codes).all() and [p.name for p in (tmp_path / "models").iterdir()] == ["small"]
     with pytest.raises(FileNotFoundError):
-        ccsa.load_checkpoint(tmp_path / "none")
+        ccsa.read_model(spark, f"file://{tmp_path}/none")
+    (tmp_path / "models" / "small" / ".arrays.bin.crc").unlink()
+    (tmp_path / "models" / "small" / "arrays.bin").write_bytes(b"12345678")
+    with pytest.raises(ValueError):
+        ccsa.read_model(spark, path)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])], "ordinal BIGINT, embedding ARRAY<DOUBLE>")
     got = ccsa.encode_sparse(df, model).orderBy("ordinal").collect()
     assert [r.sparse["indices"] for r in got] == codes[:50].tolist() and sparse.postings(ccsa.encode_sparse(df, model)).count() == 100
@@ -211,26 +259,79 @@ def test_autoencoder(spark, tmp_path):
             bad()
 
 
-def test_stores(spark, tmp_path):
+def test_dense_store(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/dense"
-    assert indexes.write_dense_index(vectors(spark), path, "dot_product") == 3
-    docs, kind = indexes.read_dense_index(spark, path, embeddings=False)
-    assert kind == "dot_product" and "embedding" not in docs.columns
+    docs = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(4)], "id STRING, embedding ARRAY<FLOAT>")
+    assert indexes.write_dense_index(docs, path, "dot_product") == 4
+    found, kind = indexes.read_dense_index(spark, path, embeddings=False)
+    assert kind == "dot_product" and found.columns == ["id"]
     with pytest.raises(FileExistsError):
-        indexes.write_dense_index(vectors(spark), path)
+        indexes.write_dense_index(docs, path)
+    with pytest.raises(ValueError, match="more than once"):
+        indexes.write_dense_index(docs.union(docs.limit(1)), f"file://{tmp_path}/twice")
     with pytest.raises(Exception):
-        indexes.write_dense_index(vectors(spark).withColumn("embedding", F.lit(None).cast("array<float>")), f"file://{tmp_path}/none")
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["dense"]
+        indexes.write_dense_index(docs.withColumn("embedding", F.lit(None).cast("array<float>")), f"file://{tmp_path}/none")
     with pytest.raises(ValueError):
         indexes.read_sparse_index(spark, path)
-    store = f"file://{tmp_path}/sparse"
-    one = spark.createDataFrame([("a", 0, ([0], [1.0])), ("b", 1, ([5], [2.0]))], "id STRING, pos INT, sparse STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>>")
-    assert indexes.write_sparse_index(one, store) == 2
-    assert indexes.write_sparse_index(spark.createDataFrame([("c", 0, ([1], [1.0]))], one.schema), store, append=True) == 1
-    documents, entries, stats = indexes.read_sparse_index(spark, store)
-    assert {r.id: r.ordinal for r in documents.collect()} == {"a": 0, "b": 1, "c": 2} and stats["posting_count"] == 3 and entries.count() == 3
+    other = docs.where("id = 'v1'")
+    for n in (2, 3):  # the former store can't be set aside, or the new one can't be put in its place (the head is renamed first)
+        with monkeypatch.context() as m:
+            m.setattr(session, "_rename", failing_at(n))
+            with pytest.raises(OSError):
+                indexes.write_dense_index(other, path, overwrite=True)
+        assert indexes.read_dense_index(spark, path)[0].count() == 4
+    (tmp_path / "dense").rename(tmp_path / "dense.123.old")  # as a process leaves it that dies in between
+    assert indexes.read_dense_index(spark, path)[0].count() == 4
+    assert indexes.write_dense_index(other, path, overwrite=True) == 1 and indexes.read_dense_index(spark, path)[0].count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["dense"]
+
+
+def test_sparse_store_takes_batches(spark, tmp_path, monkeypatch):
+    path, schema = f"file://{tmp_path}/sparse", "id STRING, pos INT, title STRING, sparse STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>>"
+    batch = lambda *names: spark.createDataFrame([(n, i, n.upper(), ([i, 9], [0.5 + i, 2.0])) for i, n in enumerate(names)], schema)
+    with pytest.raises(FileNotFoundError):
+        indexes.write_sparse_index(batch("a"), path, append=True)
+    assert indexes.write_sparse_index(batch("c", "a", "b"), path) == 3
+    before = sorted(p for p in (tmp_path / "sparse").rglob("*.parquet"))
+    assert indexes.write_sparse_index(batch("z", "y"), path, append=True) == 2
+    assert set(before) <= set((tmp_path / "sparse").rglob("*.parquet"))  # nothing of the first batch was written again
+
+    def check():
+        documents, entries, stats = indexes.read_sparse_index(spark, path)
+        assert {r.id: r.ordinal for r in documents.collect()} == {"c": 0, "a": 1, "b": 2, "z": 3, "y": 4}
+        assert stats == {"document_count": 5, "sparse_dimension": 10, "active_dimension_count": 4, "posting_count": 10} and entries.count() == 10
+        asked = spark.createDataFrame([("q", ([1], [1.0]))], "query_id STRING, sparse STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>>")
+        whole = documents.withColumn("source_document_id", F.lit(None).cast("string"))
+        assert [r.id for r in sparse.sparse_retrieve(asked, entries, whole).orderBy("rank").collect()] == ["a", "y"]
+
+    check()
     with pytest.raises(ValueError, match="already"):
-        indexes.write_sparse_index(one, store, append=True)
+        indexes.write_sparse_index(batch("b"), path, append=True)
+    with pytest.raises(Exception, match="invalid sparse"):
+        indexes.write_sparse_index(batch("w").withColumn("sparse", F.struct(F.array(F.lit(1)).alias("indices"), F.array(F.lit(0.0)).alias("values"))), path, append=True)
+    with monkeypatch.context() as m:
+        m.setattr(session, "_rename", lambda fs, a, b: False)
+        with pytest.raises(OSError):
+            indexes.write_sparse_index(batch("w"), path, append=True)
+    check()
+    indexes.merge_segments(spark, path)
+    check()
+    assert len(list((tmp_path / "sparse").glob("segment-*"))) == 1
+    with pytest.raises(Exception, match="beyond"):
+        indexes.write_sparse_index(batch("k"), f"file://{tmp_path}/narrow", dimension=5)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["sparse"]
+
+
+def test_search_engine_gets_bulks(spark, tmp_path):
+    class Client:
+        def bulk(self, index, documents, refresh):
+            assert len(documents) <= 3
+            (tmp_path / f"{index}-{documents[0][0]}.json").write_text(json.dumps(documents))
+
+    df = spark.createDataFrame([(f"n{i:02}", f"text {i}", '{"k":[1]}' if i % 2 else None) for i in range(20)], "id STRING, content STRING, meta STRING")
+    indexes.write_to_search_engine(df, Client, "idx", batch=3)
+    sent = dict(x for p in tmp_path.glob("idx-*.json") for x in json.loads(p.read_text()))
+    assert sent == {f"n{i:02}": {"content": f"text {i}", "meta": {"k": [1]} if i % 2 else {}} for i in range(20)}
 
 
 def test_predictions(spark, tmp_path):
@@ -248,30 +349,93 @@ def test_predictions(spark, tmp_path):
         preds.nest(rows.withColumn("query_id", F.lit(""))).collect()
 
 
-def test_stages_end_to_end(spark, tmp_path):
-    docs = spark.createDataFrame([(f"d{i}", f"topic{i % 3} word{i}", None) for i in range(9)], "id STRING, content STRING, source_document_id STRING")
-    asked = spark.createDataFrame([("q0", "topic0 word0", "n0"), ("q1", "topic1 word4", "n1")], "id STRING, content STRING, IN STRING")
-    judged = spark.createDataFrame([("n0", "d0", 1), ("n1", "d4", 1)], "IN STRING, document_id STRING, label INT")
-    index = f"file://{tmp_path}/index"
-    embed = lambda role: [lambda df: models.embed(df, lambda: models.HashEncoder(4096), role)]
-    assert stages.build_index(spark, docs, index, embed("document")) == 9
-    found = stages.infer(spark, asked, index, embed("query"), 3)
-    values = stages.evaluate(spark, str(tmp_path / "runs"), "run-1", found, asked, judged, ["Recall@1", "MRR@3"])
-    assert values == {"Recall@1": 1.0, "MRR@3": 1.0}
-    assert artifacts.discover(tmp_path / "runs", stage="evaluation") == ["run-1"] and artifacts.artifact_of(tmp_path / "runs", "run-1", "metrics").is_file()
+def corpus(spark):
+    trees = "oak elm fir yew ash pine lime box may bay".split()
+    docs = spark.createDataFrame([(f"p{i}#{c}", f"p{i}", f"{t} {t} leaf part{c}", "{}") for i, t in enumerate(trees) for c in range(2)], "id STRING, source_document_id STRING, content STRING, meta STRING")
+    asked = spark.createDataFrame([(f"q{i}", f"{t} leaf", f"need{i}") for i, t in enumerate(trees) if i % 3 == 0], "id STRING, content STRING, IN STRING")
+    judged = spark.createDataFrame([(f"need{i}", f"p{i}", 1) for i in range(0, 10, 3)], "IN STRING, document_id STRING, label INT")
+    return docs, asked, judged
+
+
+def test_stages_over_all_kinds_of_indexes(spark, tmp_path):
+    docs, asked, judged = corpus(spark)
+    root = f"file://{tmp_path}"
+    embed = lambda role: lambda df: models.embed(df, lambda: models.HashEncoder(2048), role)
+    thin = lambda df: df.withColumn("sparse", sparse.dense_to_sparse(F.transform("embedding", lambda x: F.abs(x)))).drop("embedding")
+    numbered = docs.withColumn("pos", F.substring_index(F.substring_index("id", "#", 1), "p", -1).cast("int"))
+    assert stages.build_index(spark, docs, f"{root}/dense", [embed("document")]) == 20
+    assert stages.build_index(spark, numbered, f"{root}/sparse", [embed("document"), thin], "sparse") == 20
+    assert stages.build_index(spark, docs, f"{root}/text", [], "text") == 20
+    for bad in (lambda: stages.build_index(spark, None, f"{root}/x", []), lambda: stages.build_index(spark, docs, f"{root}/x", [], "other"), lambda: stages.build_index(spark, docs.union(docs), f"{root}/x", [], "text")):
+        with pytest.raises(ValueError):
+            bad()
+    sources = [
+        stages.Source("d", "dense", f"{root}/dense", 8, 1.0, (embed("query"),)),
+        stages.Source("s", "sparse", f"{root}/sparse", 8, 0.5, (embed("query"), thin)),
+        stages.Source("l", "lexical", f"{root}/text", 8, 2.0),
+    ]
+    perfect = {"Recall@1": 1.0, "MRR@3": 1.0}
+    best_of_document = lambda df: cascade.chunk_cascade(df, 1)
+    for n, chosen in enumerate(([sources[0]], [sources[1]], [sources[2]], sources)):
+        found = stages.infer(spark, asked, chosen, k=3, steps=[best_of_document])
+        assert found.groupBy("query_id").count().where("count <> 3").count() == 0 and found.groupBy("query_id", "document_id").count().where("count > 1").count() == 0
+        assert stages.evaluate(spark, f"{root}/runs", f"run-{n}", found, asked, judged, list(perfect), {"text": f"{root}/text/index.json", "dense": f"{root}/dense"}) == perfect
+    listed = spark.createDataFrame([("need0", 0, "p1"), ("need0", 1, "p0"), ("need3", 0, "p0")], "IN STRING, pos INT, document_id STRING")
+    for source in sources:
+        rows = stages.infer(spark, asked, [source], listed, k=9).collect()
+        assert {r.query_id: set() for r in rows} == {"q0": set(), "q3": set()} and {r.document_id for r in rows if r.query_id == "q0"} == {"p0", "p1"} and {r.document_id for r in rows if r.query_id == "q3"} == {"p0"}
+    for bad in ([], [sources[0], sources[0]], [stages.Source("x", "dense", f"{root}/dense")], [stages.Source("x", "odd", f"{root}/dense")]):
+        with pytest.raises(ValueError):
+            stages.infer(spark, asked, bad)
+    with pytest.raises(ValueError):
+        stages.infer(spark, asked, sources, fuse="other")
+    assert artifacts.discover(spark, f"{root}/runs", stage="evaluation") == [f"run-{n}" for n in range(4)]
+    about = artifacts.Run(spark, f"{root}/runs", "run-0").about()
+    assert about["from"]["text"]["sha256"] and about["from"]["dense"]["sha256"] is None and about["code"]["pyspark"]
+    assert json.loads(session.read_text(spark, artifacts.Run(spark, f"{root}/runs", "run-3").artifact("metrics"))) == perfect
+    with pytest.raises(KeyError):
+        artifacts.Run(spark, f"{root}/runs", "run-3").artifact("model")
     with pytest.raises(FileExistsError):
-        stages.evaluate(spark, str(tmp_path / "runs"), "run-1", found, asked, judged, ["Recall@1"])
-    listed = spark.createDataFrame([("n0", 0, "d3")], "IN STRING, pos INT, document_id STRING")
-    assert [(r.query_id, r.document_id) for r in stages.infer(spark, asked, index, embed("query"), 3, listed).collect()] == [("q0", "d3")]
-    where = stages.prepare_mapping(spark, f"file://{tmp_path}/maps", "m1", docs.withColumn("pos", F.lit(0)), asked.withColumn("pos", F.lit(0)), judged, recipe(include_annotated_docs=True))
-    assert indexes.read_mapping(spark, where)[1]["query_count"] == 2
+        stages.evaluate(spark, f"{root}/runs", "run-1", found, asked, judged, ["Recall@1"])
+    artifacts.Run(spark, f"{root}/runs", "died").begin({})
+    (tmp_path / "runs" / "run-2" / "run.json").write_text("{")
+    assert artifacts.discover(spark, f"{root}/runs") == ["run-0", "run-1", "run-3"] and artifacts.discover(spark, f"{root}/nothing") == []
+    with pytest.raises(FileNotFoundError):
+        artifacts.Run(spark, f"{root}/runs", "died").artifact("metrics")
+    where = stages.prepare_mapping(spark, f"{root}/maps", "m1", numbered, asked.withColumn("pos", F.lit(0)), judged.withColumn("document_id", F.concat("document_id", F.lit("#0"))), recipe(include_annotated_docs=True))
+    assert indexes.read_mapping(spark, where)[1]["query_count"] == 4
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from quarrylight.plans import cli
+
+    docs, asked, judged = corpus(spark)
+    for name, df in (("documents", docs), ("queries", asked), ("qrels", judged)):
+        df.write.parquet(str(tmp_path / name))
+    monkeypatch.setattr("quarrylight.session.build_session", lambda *a, **k: spark)
+    tables = "".join(f"  {n}: {tmp_path}/{n}\n" for n in ("documents", "queries", "qrels"))
+    (tmp_path / "base.yaml").write_text(f"tables:\n{tables}logging: {{level: WARNING}}\n")
+    (tmp_path / "index.yaml").write_text(f"options: {{path: 'file://{tmp_path}/dense', kind: dense, encoder: '???'}}\n")
+    (tmp_path / "infer.yaml").write_text(f"options:\n  output: {tmp_path}/found\n  k: 2\n  sources:\n  - {{name: d, kind: dense, index: 'file://{tmp_path}/dense', encoder: 'quarrylight.operators.models:HashEncoder'}}\n")
+    base = str(tmp_path / "base.yaml")
+    call = lambda stage, file, *more: cli.main(["stage", stage, "--config", base, "--config", str(tmp_path / file), *more])
+    assert call("indexing", "index.yaml") == 1  # an encoder has to be named
+    assert call("indexing", "index.yaml", "options.encoder=quarrylight.operators.models:Missing") == 1
+    assert call("indexing", "index.yaml", "options.encoder=quarrylight.operators.models:HashEncoder") == 0
+    with pytest.raises(SystemExit):
+        call("inference", "infer.yaml", "--strange")
+    assert call("inference", "infer.yaml") == 0 and spark.read.parquet(str(tmp_path / "found")).count() == 8
+    (tmp_path / "judge.yaml").write_text(f"tables: {{predictions: {tmp_path}/found}}\noptions: {{root: 'file://{tmp_path}/runs', run: r1, metrics: [Recall@2]}}\n")
+    assert call("evaluation", "judge.yaml") == 0
+    value = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["Recall@2"]
+    assert 0.5 <= value <= 1
 
 
 def test_names_graphs_and_configs(tmp_path):
-    for bad in ("", "..", "a/b", "a:b", None, "x?"):
+    for bad in ("", "..", ".", "a/b", "a:b", None, "x?", " ", "a|b", 'q"'):
         with pytest.raises(ValueError):
             artifacts.valid_name(bad)
-    assert artifacts.slugify("E5 small/toy!") == "E5-small-toy" and artifacts.slugify("//") == "run"
+    assert artifacts.valid_name(" .a.b ") == ".a.b" and artifacts.slugify("--Über 7 (b)--") == "ber-7-b" and artifacts.slugify("//") == "run"
     registry = graph.Registry({"twice": lambda x: x * 2})
     registry = registry.layer()
     registry.add("plus", lambda a, b=1: {"sum": a + b})

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,15 +13,32 @@ from quarrylight.operators import chunking, enrich, reformulate, text
 from quarrylight.sources import records
 
 
-def test_transform_order(spark):
-    df = spark.createDataFrame([("q", "  DENSE\nINDEX  ", "n")], "id STRING, content STRING, IN STRING")
-    got = text.preprocess(df, prefix="query: ", lowercase=True, replace={r"\s+": " "}).first()
-    assert (got.content, got.IN) == ("query: dense index", "n")
-    assert text.preprocess(df, replace={r"(D)E": r"$\1"}, suffix="!").first().content == "$DNSE\nIN$DX!"
-    with pytest.raises(Exception, match="null content of q"):
-        text.preprocess(df.withColumn("content", F.lit(None).cast("string"))).collect()
-    assert text.repeat_query(df.withColumn("content", F.lit("a"))).first().content == "a a"
-    assert text.query_text(df).columns == ["text"] and text.identity_parse(df).first().content == "  DENSE\nINDEX  "
+def by_hand(text, replace, strip, lower, prefix, suffix):
+    """The order of the transforms: replacements one by one, ends, letter case, then what is put around."""
+    for pattern, new in replace.items():
+        text = re.sub(pattern, new, text)
+    text = text.strip() if strip else text
+    return prefix + (text.lower() if lower else text) + suffix
+
+
+@pytest.mark.parametrize("replace", [{}, {r"[aeiou]+": "*", r"\*": "+"}, {r"(\d)(\d)": r"\2-\1"}, {r"^\s*Z": "  y "}])
+@pytest.mark.parametrize("strip", [True, False])
+@pytest.mark.parametrize("lower", [True, False])
+def test_transforms_come_in_their_order(spark, replace, strip, lower):
+    texts = ["\tZoo 4711 \u2003", "", "ÄÖ  aeiou\n", "Zz 12 21", "$1 \\ cost"]
+    df = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(texts)], "id STRING, content STRING, extra INT")
+    got = text.preprocess(df, prefix=" >A ", suffix=" B< ", strip_ends=strip, lowercase=lower, replace=replace).orderBy("extra").collect()
+    assert [r.content for r in got] == [by_hand(t, replace, strip, lower, " >A ", " B< ") for t in texts] and [r.extra for r in got] == list(range(5))
+
+
+def test_queries_without_content(spark):
+    df = spark.createDataFrame([("left", None), ("right", "x")], "id STRING, content STRING")
+    with pytest.raises(Exception, match="null content of left"):
+        text.preprocess(df, prefix="p").collect()
+    kept = text.preprocess(df, nulls="keep", prefix="p").orderBy("id").collect()
+    assert [r.content for r in kept] == [None, "px"]
+    assert text.repeat_query(df.where("id = 'right'")).first().content == "x x"
+    assert text.query_text(df.where("id = 'right'")).collect()[0].asDict() == {"text": "x"} and text.identity_parse(df.where("id = 'right'")).first().content == "x"
 
 
 def test_unicode_rules(spark):
@@ -30,14 +48,27 @@ def test_unicode_rules(spark):
     assert java_pattern(r"[\s,]\w\\s") .endswith(r"\\s")
 
 
-def test_filter(spark):
-    rows = [("1", "dense retrieval works"), ("2", "retrieval"), ("3", "nothing of it here"), ("4", ""), ("5", None)]
-    df = spark.createDataFrame(rows, "id STRING, content STRING")
-    kept, rejected = text.filter_by_content(df, nulls="reject", include_regex="RETRIEVAL", min_words=2, max_words=4, flags="i")
-    assert [r.id for r in kept.collect()] == ["1"] and sorted(r.id for r in rejected.collect()) == ["2", "3", "4", "5"]
-    assert text.filter_by_content(df, nulls="reject", include_regex="", exclude_regex="")[0].count() == 4
+def test_filter_takes_what_every_rule_takes(spark):
+    texts = ["ice", "ice and snow", "snow, snow: snow; snow", "Eis_1 schnee-2", "", "the ice\nthe end of it", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n INT, content STRING")
+    rules = [
+        {"min_words": 3}, {"max_words": 3}, {"min_words": 3, "max_words": 4}, {"include_regex": "^the|snow$"}, {"exclude_regex": "ice|schnee"},
+        {"include_regex": "SNOW", "flags": "i", "exclude_regex": ";"}, {"include_regex": "", "exclude_regex": ""}, {"include_regex": "^the end", "flags": "m"},
+    ]
+    for rule in rules:
+        flags = {"i": re.I, "m": re.M}.get(rule.get("flags", ""), 0)
+
+        def fits(t):
+            n = len(re.findall(r"\b\w+\b", t))
+            include, exclude = rule.get("include_regex"), rule.get("exclude_regex")  # noqa: B023
+            inside = rule.get("min_words", 0) <= n <= rule.get("max_words", 99)  # noqa: B023
+            return inside and (not include or bool(re.search(include, t, flags))) and not (exclude and re.search(exclude, t, flags))  # noqa: B023
+
+        wanted = [i for i, t in enumerate(texts) if t is not None and fits(t)]
+        kept, rejected = text.filter_by_content(df, nulls="reject", **rule)
+        assert sorted(r.n for r in kept.collect()) == wanted and sorted(r.n for r in rejected.collect()) == [i for i in range(7) if i not in wanted]
     with pytest.raises(Exception, match="null content"):
-        text.filter_by_content(df)[0].collect()
+        text.filter_by_content(df)[1].collect()
 
 
 def test_enrichment(spark):
@@ -118,7 +149,7 @@ def test_files(spark, tmp_path):
     path.write_text(body, encoding="utf-8")
     plan = records.batch_plan(spark, str(path), 2)
     assert plan == {"document_count": 5, "batch_count": 3, "sha256": hashlib.sha256(body.encode()).hexdigest()} and records.count_lines(spark, str(path)) == 5
-    assert plan["sha256"] == records.file_sha256(path)
+    assert plan["sha256"] == records.path_sha256(spark, f"file://{path}") and records.path_sha256(spark, str(path)) == plan["sha256"]
     path.write_text(body + body, encoding="utf-8")
     with pytest.raises(ValueError, match="more than once"):
         records.batch_plan(spark, str(path), 2)
@@ -134,6 +165,28 @@ def test_files(spark, tmp_path):
     assert records.read_yaml_mapping(tmp_path / "l.yaml") == {}
 
 
+def test_lines_have_numbers(spark, tmp_path):
+    path = tmp_path / "docs.jsonl"
+    good = '{"id":"d%d","content":"c","meta":{}}'
+    lines = [good % 1, "", "  ", good % 2, "[3]", good % 4, '{"id":"d5","meta":{}}', good % 6]
+    path.write_text("\n".join(lines) + "\n")
+    got = [(r.line_no, r.problem) for r in records.record_problems(spark, str(path), "document").orderBy("line_no").collect()]
+    assert got == [(5, "not an object"), (7, "missing content")]
+    with pytest.raises(ValueError, match="line 5 of"):
+        records.batch_plan(spark, str(path), 3)
+    many = tmp_path / "many.txt"
+    many.write_text("".join(f"row {i} {'x' * (i % 90)}\n" for i in range(1, 5001)))
+    parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        numbered = records.numbered_lines(spark, str(many))
+        assert numbered.rdd.getNumPartitions() > 3 and all(r.value.split()[1] == str(r.line_no) for r in numbered.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", parts)
+    path.write_text('{"id":"a","meta":{}}\n\n{"id":"b","meta":2}\n{"id":"a","meta":{"x":1}}\n{"id":"","meta":{}}\n')
+    assert sorted(map(tuple, records.mapping_problems(spark, str(path)).collect())) == [(3, "meta is no object"), (4, "repeated id"), (5, "empty id")]
+
+
 def test_metadata_mapping(spark, tmp_path):
     path = tmp_path / "m.jsonl"
     path.write_text('{"id":"a","meta":{"n":{"x":[1]}}}\n\n{"meta":{},"id":"b"}\n')
