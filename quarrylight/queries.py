@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylight import schemas
 from quarrylight.functions.text import transform_text
-from quarrylight.operators import analysis, cascade, ccsa, chunking, dense, enrich, fusion, lexical, mapping, metrics, models, reformulate, references, sparse, text
+from quarrylight.operators import analysis, cascade, ccsa, chunking, dense, enrich, fusion, lexical, mapping, metrics, reformulate, references, sparse, text
 from quarrylight.sources import predictions as results
 from quarrylight.sql import SQL as SQL
 from quarrylight.streaming import indexing as streams
@@ -47,7 +47,7 @@ def p1_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct and inherited orphans per table, field and month."""
     found, tables = _orphans(spark, sf_dir)
-    return references.orphan_report(found, tables, ROW_KEYS, {"qrels": "judged_at", "queries": "received_at"})
+    return references.orphan_report(found, tables, ROW_KEYS, {"qrels": "judged_at", "queries": "received_at"}).withColumn("month", F.col("month").cast("string"))
 
 
 # Dense
@@ -305,21 +305,6 @@ def reformulate_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reformulate.reformulate(df, answer, "q", "data.queries").select("line_no", "variant", "content")
 
 
-def rerank_cross_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of each query's need, scored by a stand-in: the share of the query's words in the document."""
-    queries = _table(spark, sf_dir, "queries").where("line_no % 20 = 0 AND content IS NOT NULL").select(F.col("line_no").alias("query_id"), "IN", F.col("content").alias("query_content"))
-    documents = _table(spark, sf_dir, "documents").where("content IS NOT NULL").select(F.col("id").alias("document_id"), F.col("doc_id").alias("id"), "content")
-    pairs = queries.join(_table(spark, sf_dir, "input_mapping").select("IN", "document_id").distinct(), "IN").join(documents, "document_id")
-
-    def load():
-        def score(asked: list[str], texts: list[str]) -> list[float]:
-            return [len(set(a.lower().split()) & set(t.lower().split())) / max(len(set(a.lower().split())), 1) for a, t in zip(asked, texts, strict=True)]
-
-        return score
-
-    return models.rerank(pairs, load, k=10).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
-
-
 # Mappings
 
 RECIPE = {
@@ -452,7 +437,7 @@ QUERIES = {
         bm25_topk, bm25_candidates, term_statistics, sparse_postings, sparse_index_stats, sparse_topk, sparse_candidates, sparse_min_score,
         fuse_rrf, fuse_sum, fuse_sum_norm, fuse_linear, fuse_zscore, fuse_missing_score, topk_documents, chunk_cascade, chunk_collapse, metrics_per_query,
         prefix_documents, preprocess_queries, repeat_queries, content_filter_kept, content_filter_rejected, identity_parse, query_to_string,
-        enrich_documents, enrich_conflicts, chunk_documents, reformulate_explode, rerank_cross_encoder, mapping_stats, mapping_first_places,
+        enrich_documents, enrich_conflicts, chunk_documents, reformulate_explode, mapping_stats, mapping_first_places,
         duplicate_ids, qrel_conflicts, validate_records, predictions_nested, predictions_flat, query_summary, run_means, run_comparison, paired_outcomes,
         ccsa_codes, ccsa_postings_balance, event_windows,
     )

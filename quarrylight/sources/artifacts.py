@@ -19,8 +19,8 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from quarrylight import __version__
-from quarrylight.session import _path, list_names, read_text, write_text_atomic
-from quarrylight.sources.records import path_sha256, sha256_text, to_jsonable
+from quarrylight.session import _path, list_names, read_text
+from quarrylight.sources.records import path_sha256, sha256_text, write_json
 
 #: The characters that a name of a run, index or mapping can't have.
 FORBIDDEN = r'/\:*?"<>|'
@@ -40,10 +40,6 @@ def slugify(text: str, fallback: str = "run") -> str:
     return re.sub(r"[^A-Za-z0-9._-]+", "-", text).strip("-._") or fallback
 
 
-def _json(value: Any) -> str:
-    return json.dumps(to_jsonable(value), ensure_ascii=False, indent=2, sort_keys=True) + "\n"
-
-
 @dataclass(frozen=True)
 class Run:
     """One run below a root folder."""
@@ -64,13 +60,12 @@ class Run:
         if fs.exists(folder):
             raise FileExistsError(self.at())
         fs.mkdirs(folder)
-        write_text_atomic(self.spark, self.at(CONFIG), _json(config))
+        write_json(self.spark, self.at(CONFIG), config)
         return self
 
     def put(self, name: str, value: Any) -> str:
         """Writes a value as JSON into the folder and returns its path."""
-        write_text_atomic(self.spark, self.at(name), _json(value))
-        return self.at(name)
+        return write_json(self.spark, self.at(name), value)
 
     def complete(self, stage: str, artifacts: dict[str, str], inputs: dict[str, str] | None = None, experiment: str | None = None) -> dict:
         """Describes and thereby completes the run; inputs that are files are named with their digest."""

@@ -1,18 +1,16 @@
-"""JSON and JSONL, read and written: large files by Spark, small artifacts by the driver."""
+"""JSON and JSONL, read and written: large files by Spark, small artifacts by the driver, both on any Hadoop file system."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import uuid
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quarrylight.schemas import DOCUMENT, QREL, QUERY, record_problem, require
-from quarrylight.session import _path
+from quarrylight.session import _path, read_text, write_text_atomic
 
 BLANK = r"^[\s\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]*$"
 
@@ -94,13 +92,18 @@ def batch_plan(spark: SparkSession, path: str, batch_size: int) -> dict[str, Any
 
 
 def path_sha256(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file of any Hadoop file system, streamed by the JVM whatever its size."""
+    """SHA-256 of a file of any Hadoop file system, or of a folder's files one after the other by name; streamed by the JVM whatever the size."""
     found, fs = _path(spark, path)
-    stream = fs.open(found)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
+    tools = spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils
+    digest = tools.getSha256Digest()
+    parts = [found] if fs.getFileStatus(found).isFile() else sorted((s.getPath() for s in fs.listStatus(found) if s.isFile() and s.getPath().getName()[0] not in "._"), key=str)
+    for part in parts:
+        stream = fs.open(part)
+        try:
+            tools.updateDigest(digest, stream)
+        finally:
+            stream.close()
+    return bytes(digest.digest()).hex()
 
 
 def sha256_text(text: str) -> str:
@@ -120,20 +123,17 @@ def to_jsonable(value: Any) -> Any:
     return str(value) if isinstance(value, Path) else value
 
 
-def read_json(path: str | Path) -> Any:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def read_json(spark: SparkSession, path: str) -> Any:
+    """The value of a small JSON file of any Hadoop file system; raises where there is none."""
+    text = read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
 
 
-def write_json(path: str | Path, value: Any) -> Path:
-    """Indented JSON with a final line break, published by renaming: a failure leaves nothing behind."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}.tmp")
-    try:
-        part.write_text(json.dumps(to_jsonable(value), indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
-        os.replace(part, path)
-    finally:
-        part.unlink(missing_ok=True)
+def write_json(spark: SparkSession, path: str, value: Any) -> str:
+    """Indented JSON with a final line break; readers see the former value or the new one, and a failure leaves nothing behind."""
+    write_text_atomic(spark, path, json.dumps(to_jsonable(value), indent=2, ensure_ascii=False) + "\n")
     return path
 
 

@@ -3,8 +3,10 @@ from __future__ import annotations
 import pytest
 
 from compare import DATA, connect, rows
-from quarrylight.queries import QUERIES
-from quarrylight.sql import SQL
+from quarrylight import queries, store_queries
+
+QUERIES = queries.QUERIES | store_queries.QUERIES
+SQL = queries.SQL | store_queries.SQL
 
 
 @pytest.fixture(scope="module")

@@ -156,11 +156,17 @@ def test_files(spark, tmp_path):
     records.write_jsonl(spark.createDataFrame([("é", None)], "a STRING, b INT"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":"é","b":null}'
     assert records.to_jsonable({1: {"b", "a"}, "p": (tmp_path,)}) == {"1": ["a", "b"], "p": [str(tmp_path)]}
-    written = records.write_json(tmp_path / "a" / "x.json", {"k": "é"})
-    assert written.read_text(encoding="utf-8") == '{\n  "k": "é"\n}\n' and records.read_json(written) == {"k": "é"}
+    written = records.write_json(spark, f"file://{tmp_path}/a/x.json", {"k": "é", 2: {"z"}})
+    assert (tmp_path / "a" / "x.json").read_text(encoding="utf-8") == '{\n  "k": "é",\n  "2": [\n    "z"\n  ]\n}\n' and records.read_json(spark, written) == {"k": "é", "2": ["z"]}
     with pytest.raises(TypeError):
-        records.write_json(tmp_path / "a" / "y.json", object())
-    assert [p.name for p in (tmp_path / "a").iterdir()] == ["x.json"]
+        records.write_json(spark, f"file://{tmp_path}/a/y.json", object())
+    with pytest.raises(FileNotFoundError):
+        records.read_json(spark, f"file://{tmp_path}/a/y.json")
+    assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "part-1").write_bytes(b"2")
+    (tmp_path / "b" / "part-0").write_bytes(b"1")
+    assert records.path_sha256(spark, str(tmp_path / "b")) == hashlib.sha256(b"12").hexdigest()
     (tmp_path / "l.yaml").write_text("- 1\n")
     assert records.read_yaml_mapping(tmp_path / "l.yaml") == {}
 
