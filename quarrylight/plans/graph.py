@@ -8,6 +8,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
 
 class Registry:
     """Operators by name; later layers (a project, an experiment) override earlier ones."""
@@ -32,6 +35,11 @@ class Registry:
         raise KeyError(f"unknown operator {name!r}")
 
 
+def boundary(spark: SparkSession, rows: DataFrame | None, schema: StructType) -> DataFrame:
+    """The input or output of a graph as it is; None is an empty table of the schema."""
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
 @dataclass
 class Pipeline:
     """``components``: name -> (operator, options). ``connections``: ``a.output -> b.input``.

@@ -75,6 +75,31 @@ def prepare_benchmark(spark: SparkSession, source: str, target: str, dataset: st
     return {name: df.count() for name, df in out.items()}
 
 
+def fetch(url: str, target: str | Path, force: bool = False) -> Path:
+    """Downloads a file to a folder of the driver under its own name, unless it is there already; returns its path.
+
+    A download that breaks off leaves nothing under that name. ``force`` fetches it anew.
+    """
+    import shutil
+    import urllib.request
+
+    folder = Path(target)
+    name = url.split("?")[0].rstrip("/").rpartition("/")[2]
+    if not name:
+        raise ValueError(f"{url} names no file")
+    if (folder / name).exists() and not force:
+        return folder / name
+    folder.mkdir(parents=True, exist_ok=True)
+    part = folder / f".{name}.part"
+    try:
+        with urllib.request.urlopen(url) as source, part.open("wb") as out:  # noqa: S310
+            shutil.copyfileobj(source, out)
+        part.replace(folder / name)
+    finally:
+        part.unlink(missing_ok=True)
+    return folder / name
+
+
 def extract(archive: str | Path, target: str | Path) -> Path:
     """Unpacks a zip archive and finds the folder with the corpus; paths that lead outside raise."""
     import zipfile

@@ -49,3 +49,33 @@ def test_cuts_limit_their_groups_before_the_shuffle(spark):
     fused = fusion.reciprocal_rank_fusion(ranked, {"dense-baseline": 1.0})
     assert "WindowGroupLimit" in plan(cascade.top_k_documents(fused, 3))
     assert "WindowGroupLimit" in plan(metrics.rank_documents(ranked, 5))
+
+
+def executed(spark, make):
+    """The physical plans of all that runs while ``make`` builds its result and it is read."""
+    seen = []
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store = spark.sparkContext._jvm.org.apache.spark.sql.classic.SparkSession.getActiveSession().get().sharedState().statusStore()
+        old = store.executionsCount()
+        make().collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        all_ = store.executionsList()
+        seen = [all_.apply(i).physicalPlanDescription() for i in range(old, all_.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return seen
+
+
+def test_the_corpus_is_cut_into_words_once(spark):
+    plans = executed(spark, lambda: QUERIES["bm25_topk"](spark, str(DATA)))
+    cutting = [p for p in plans if "regexp_extract_all" in p and "documents.parquet" in p]
+    assert plans and len(cutting) == 1
+
+
+def test_sparse_vectors_are_scanned_without_a_shuffle(spark):
+    text = plan(QUERIES["sparse_topk"](spark, str(DATA)))
+    tree = text.split("\n\n")[0]
+    below = tree[tree.index("MapInArrow") :]
+    assert "Exchange" not in below[: below.index("Scan parquet")] and "collect_list" not in text

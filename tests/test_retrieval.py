@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import session
-from quarrylight.operators import cascade, ccsa, dense, lexical, mapping, models, sparse
+from quarrylight.operators import cascade, ccsa, dense, lexical, mapping, models, skew, sparse
 from quarrylight.plans import config, graph, stages
 from quarrylight.sources import artifacts, benchmark, indexes, predictions as preds
 from quarrylight.streaming import indexing
@@ -181,6 +182,43 @@ def test_mappings(spark):
     assert mapping.exact_sample(list("abcdef"), 3, 13) == mapping.exact_sample(list("abcdef"), 3, 13)
 
 
+@pytest.mark.parametrize("few", [1, 40, 10_000])
+def test_subsets_by_hash_thresholds(spark, monkeypatch, few):
+    monkeypatch.setattr(mapping, "FEW_KEYS", few)
+    monkeypatch.setattr(mapping, "PREFIX", 1)
+    keys = [f"k{i}" for i in range(700)]
+    df = spark.createDataFrame([(k, n) for k in keys for n in range(1 + len(k) % 2)] + [(None, 5)], "key STRING, n INT")
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"s|{k}".encode()).hexdigest(), k))
+    for size in (0, 1, 37, 699, 700):
+        got = mapping.sample_keys(df, "key", size, "s", "keys").collect()
+        assert {r.key for r in got} == set(order[:size]) and len(got) == sum(1 + len(k) % 2 for k in order[:size])
+    with pytest.raises(ValueError, match="701 keys were asked for, 700 exist"):
+        mapping.sample_keys(df, "key", 701, "s", "keys")
+    assert mapping.sample_keys(df, "key", None, "s", "keys").count() == df.count()
+    first = mapping.first_rows(df.where("key IS NOT NULL"), 55, "key", "n").collect()
+    assert sorted(map(tuple, first)) == sorted((k, n) for k in keys for n in range(1 + len(k) % 2))[:55]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("limits", [{}, {"plain_rows": 0}, {"plain_rows": 0, "heavy_rows": 10}, {"plain_rows": 0, "left_rows": 10**13}])
+def test_skewed_joins_are_joins(spark, how, limits):
+    rng = random.Random(6)
+    left = [(rng.choice(["hot", "hot", *"abcdefg", None]), i) for i in range(400)]
+    right = [(k, f"{k}!") for k in ("hot", "a", "b", "zzz")]
+    counted = [(k, v, sum(x[0] == k for x in left)) for k, v in right]
+    a = spark.createDataFrame(left, "key STRING, n INT")
+    b = spark.createDataFrame(counted, "key STRING, value STRING, rows INT")
+    got = skew.join_unique_skewed(a, b, "key", F.col("rows"), how, **limits).select("key", "n", "value").collect()
+    wanted = [(k, n, dict(right).get(k)) for k, n in left if how == "left" or k in dict(right)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    heavy = skew.heavy_keys_of(a, "key", heavy_rows=20)
+    assert heavy is not None and {r.key: r.salts for r in heavy.collect()}["hot"] == -(-sum(k == "hot" for k, _ in left) // 20)
+    assert skew.heavy_keys_of(a, "key") is None
+    salted = skew.salted(a, b, "key", heavy, F.col("n"))
+    assert sorted(r.n for r in salted[0].join(salted[1], ["key", "_salt"]).collect()) == sorted(n for k, n in left if k in dict(right))
+    assert skew.heavy_limit(10**13) * skew.MOST_HEAVY >= 10**13
+
+
 def test_mapping_checks_and_limits(spark):
     docs, asked, qrels = mapping_tables(spark)
     stored = spark.createDataFrame([("q1", 0, "d1"), ("q1", 1, "d2"), ("q1", 2, "d1")], "IN STRING, pos INT, document_id STRING")
@@ -469,6 +507,35 @@ def test_benchmark_files(spark, tmp_path):
     assert (row.IN, row.document_id, row.label) == ("q9", "d7", 2)
 
 
+def test_fetched_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "set.zip", "w") as z:
+        z.writestr("inner/corpus.jsonl", '{"_id":"1","text":"a"}\n')
+    url = f"file://{tmp_path}/set.zip"
+    path = benchmark.fetch(f"{url}", tmp_path / "cache")
+    root = benchmark.extract(path, tmp_path / "raw")
+    assert [r.content for r in benchmark.benchmark_documents(spark, f"{root}/corpus.jsonl", "d").collect()] == ["a"]
+    (tmp_path / "set.zip").write_bytes(b"other")
+    assert benchmark.fetch(url, tmp_path / "cache").read_bytes() != b"other" and benchmark.fetch(url, tmp_path / "cache", force=True).read_bytes() == b"other"
+    with pytest.raises(OSError):
+        benchmark.fetch(f"file://{tmp_path}/none.zip", tmp_path / "cache")
+    assert [p.name for p in (tmp_path / "cache").iterdir()] == ["set.zip"]
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../corpus.jsonl", "x")
+    with pytest.raises(ValueError, match="outside"):
+        benchmark.extract(tmp_path / "bad.zip", tmp_path / "raw2")
+
+
+def test_boundaries_of_graphs(spark):
+    from quarrylight.schemas import DOCUMENT
+
+    df = spark.range(3)
+    assert graph.boundary(spark, df, DOCUMENT) is df
+    empty = graph.boundary(spark, None, DOCUMENT)
+    assert empty.count() == 0 and empty.schema == DOCUMENT
+
+
 def test_stream_of_documents(spark, tmp_path):
     source, out = tmp_path / "in", f"file://{tmp_path}/out"
     schema = "id STRING, content STRING"
