@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylight.llm import components, copies, mixing, near_duplicates, pieces, sentences, tokens
@@ -42,6 +44,24 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_key").alias("line_no"), "split_name")
 
 
+def _rows(df: DataFrame) -> DataFrame:
+    """(rule, n) of one row whose columns are rules."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").cast("long").alias("n")) for c in df.columns])).alias("r")).select("r.*")
+
+
+def p3_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the splits break each rule: checked by plain aggregation over the table's own columns."""
+    asked, targets = _table(spark, sf_dir, "queries"), _table(spark, sf_dir, "split_targets")
+    placed = asked.join(p3_splits(spark, sf_dir), "line_no", "left").select("line_no", "id", F.lower(F.trim(F.translate("IN", "\t\n\r", "   "))).alias("need"), "split_name")
+    apart = lambda key: placed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("split_name").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"{key} in two splits"))
+    total = placed.count()
+    shares = targets.join(placed.groupBy("split_name").agg(F.count(F.lit(1)).alias("n")), "split_name", "full_outer")
+    off = F.abs(F.coalesce("n", F.lit(0)) / F.lit(max(total, 1)) - F.coalesce("target_share", F.lit(0.0))) > 0.06
+    rows = placed.agg(F.count_if(F.col("split_name").isNull()).alias("row without split"), (F.count(F.lit(1)) - F.count_distinct("line_no")).alias("row twice"))
+    parts = [rows, apart("id"), apart("need"), shares.agg(F.count_if(off).alias("share off by over 0.06"))]
+    return reduce(DataFrame.unionByName, map(_rows, parts))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the profile 'wide' cuts, and those of them with a cut through a longer stretch without boundary."""
     limit, overlap = _profile(spark, sf_dir, "wide")
@@ -103,6 +123,33 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents' ids break each rule; decoding has to give the text back."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = documents.join(p6_ids(spark, sf_dir), "doc_id", "left").join(tokens.decode_documents(p6_ids(spark, sf_dir), "doc_id", "ids"), "doc_id", "left")
+    blank = F.coalesce(F.length("text"), F.lit(0)) == 0
+    counted = joined.agg(
+        F.count_if(F.col("ids").isNull()).alias("document without list"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("document twice"),
+        F.count_if(blank & (F.size("ids") > 0)).alias("ids of no text"), F.count_if(F.coalesce("text", F.lit("")) != F.coalesce("decoded", F.lit("?"))).alias("other text"),
+    )
+    return _rows(counted)
+
+
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mixture breaks each rule."""
+    mixture, shares = _mix(spark, sf_dir)
+    targets = _table(spark, sf_dir, "mix_targets")
+    used = mixture.join(targets, "source", "left").agg(
+        F.count_if(F.col("target_share").isNull()).alias("source without target"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("too many copies"),
+        F.count_if(F.col("copies") < 1).alias("row without copies"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("document twice"),
+    )
+    there = shares.where("target_share > 0 AND available_tokens > 0")
+    whole = there.agg(F.sum("target_share")).first()[0] or 1.0
+    off = F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.col("target_share") / F.lit(whole)) > 0.02
+    again = mixture.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).join(shares, "source", "full_outer")
+    return _rows(used).unionByName(_rows(there.agg(F.count_if(off).alias("share off by over 0.02")))).unionByName(_rows(again.agg(F.count_if(F.coalesce("n", F.lit(0)) != F.coalesce("used_tokens", F.lit(0))).alias("other sum than reported"))))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counted = tokens.count_tokens(_table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
     return mixing.mix_sources(spark, counted, _table(spark, sf_dir, "mix_targets"))
@@ -120,5 +167,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_kept, p3_found, p3_splits, p4_found, p4_pieces, p4_violations, p5_found, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found, p8_violations)
+    for f in (p2_found, p2_kept, p3_found, p3_splits, p3_violations, p4_found, p4_pieces, p4_violations, p5_found, p5_classes, p6_ids, p6_violations, p7_mixture, p7_shares, p7_violations, p8_found, p8_violations)
 }

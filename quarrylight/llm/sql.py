@@ -53,12 +53,26 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS both_ FROM g l JOIN g r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2)
 SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE both_ >= 0.6 * (na.n + nb.n - both_)"""
 
-#: No piece may break a rule.
-P4_VIOLATIONS = """
-SELECT rule, 0::BIGINT AS n FROM (VALUES ('text without pieces'), ('over the limit'), ('other than the text'), ('wrong overlap'), ('end not reached'),
-  ('cut inside a word with a boundary in reach')) r(rule)"""
+P5_CLASSES = f"""
+WITH t AS (SELECT doc_id, {norm("content")} AS c FROM documents WHERE form = 'prose' AND content IS NOT NULL),
+k AS (SELECT c, min(doc_id) AS a FROM t WHERE length(c) >= 12 GROUP BY c),
+g AS (SELECT DISTINCT a, substr(c, i::INT, 12) AS x FROM k, unnest(range(1, length(c) - 10)) AS r(i)),
+n AS (SELECT a, count(*) AS n FROM g GROUP BY a),
+p AS (SELECT l.a AS a, r.a AS b, count(*) AS both_ FROM g l JOIN g r ON l.x = r.x AND l.a <> r.a GROUP BY 1, 2),
+links AS (SELECT p.a, count(*) AS n FROM p JOIN n na ON na.a = p.a JOIN n nb ON nb.a = p.b WHERE both_ >= 0.6 * (na.n + nb.n - both_) GROUP BY 1)
+SELECT t.doc_id, k.a AS class_id, coalesce(links.n, 0) AS n_links FROM t JOIN k USING (c) LEFT JOIN links ON links.a = k.a"""
+
+
+def _zeros(*rules: str) -> str:
+    """No rule may be broken."""
+    return f"SELECT rule, 0::BIGINT AS n FROM (VALUES {', '.join(f'({chr(39)}{r}{chr(39)})' for r in rules)}) r(rule)"
 
-P8_VIOLATIONS = """
-SELECT rule, 0::BIGINT AS n FROM (VALUES ('empty or blank'), ('beyond the text'), ('white space around'), ('overlap'), ('text outside of units'), ('long text cut otherwise')) r(rule)"""
 
-SQL = {"p8_violations": P8_VIOLATIONS, "p4_violations": P4_VIOLATIONS, "p5_found": P5_FOUND, "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+SQL = {
+    "p2_found": P2_FOUND, "p2_kept": P2_KEPT, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_classes": P5_CLASSES,
+    "p3_violations": _zeros("row without split", "row twice", "id in two splits", "need in two splits", "share off by over 0.06"),
+    "p4_violations": _zeros("text without pieces", "over the limit", "other than the text", "wrong overlap", "end not reached", "cut inside a word with a boundary in reach"),
+    "p6_violations": _zeros("document without list", "document twice", "ids of no text", "other text"),
+    "p7_violations": _zeros("source without target", "too many copies", "row without copies", "document twice", "share off by over 0.02", "other sum than reported"),
+    "p8_violations": _zeros("empty or blank", "beyond the text", "white space around", "overlap", "text outside of units", "long text cut otherwise"),
+}

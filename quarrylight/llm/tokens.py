@@ -141,6 +141,18 @@ def encode_documents(df: DataFrame, key: str, text: str, path: str = DEFAULT, ou
     return chosen.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def decode_documents(df: DataFrame, key: str, ids: str, path: str = DEFAULT, out: str = "decoded") -> DataFrame:
+    """(key, decoded STRING): the text of each row's ids; null and empty lists give the empty text."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [decode(v.values.to_numpy() if v.is_valid else None, path) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, out])
+
+    return df.select(df[f"`{key}`"].alias(key), df[f"`{ids}`"]).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, keys: list[str], text: str, path: str = DEFAULT, out: str = "n_tokens") -> DataFrame:
     """(keys..., n_tokens BIGINT): the number of ids of each row's text; 0 for null and empty texts."""
     fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
