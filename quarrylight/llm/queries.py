@@ -66,9 +66,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the profile 'wide' cuts, and those of them with a cut through a longer stretch without boundary."""
     limit, overlap = _profile(spark, sf_dir, "wide")
     found = pieces.split_documents(_table(spark, sf_dir, "documents"), "doc_id", "content", limit, overlap, with_text=False)
-    over = found.where("piece_no = 0 AND n_pieces > 1").select("doc_id", F.lit("over").alias("kind"))
     # A stretch longer than a piece is cut somewhere, wherever else it would be cut: the pieces show it.
-    return over.unionByName(found.where(F.col("solid") > limit).select("doc_id", F.lit("solid").alias("kind")).distinct())
+    over = F.when((F.col("piece_no") == 0) & (F.col("n_pieces") > 1), F.lit("over"))
+    kinds = F.array_compact(F.array(over, F.when(F.col("solid") > limit, F.lit("solid"))))
+    return found.select("doc_id", F.explode(kinds).alias("kind")).distinct()
 
 
 def _profile(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
