@@ -14,6 +14,8 @@ import json
 import logging
 import sys
 
+from pyspark.sql import DataFrame, SparkSession
+
 from quarrylight.operators import models, sparse
 from quarrylight.plans import config as configs, graph, stages
 
@@ -39,12 +41,19 @@ def _source(spec: dict) -> stages.Source:
 
 def run(stage: str, config: dict) -> object:
     """Runs one stage by its configuration and returns what it reports."""
-    from quarrylight.session import build_session
+    from quarrylight.session import build_session, clear_workspaces
 
     spark = build_session("quarrylight", **{k.replace(".", "__"): str(v) for k, v in (config.get("spark") or {}).items()})
     tables = {name: spark.read.parquet(path) for name, path in (config.get("tables") or {}).items()}
     options = dict(config.get("options") or {})
     log.info("stage %s over %s", stage, ", ".join(sorted(tables)) or "no tables")
+    try:
+        return _run(spark, stage, tables, options)
+    finally:  # what a stage reports is written, so nothing reads its workspaces any more
+        clear_workspaces(spark)
+
+
+def _run(spark: SparkSession, stage: str, tables: dict[str, DataFrame], options: dict) -> object:
     if stage == "prepare_mapping":
         return stages.prepare_mapping(spark, documents=tables["documents"], queries=tables["queries"], qrels=tables["qrels"], **options)
     steps = [graph.Registry().find(name) for name in options.pop("steps", None) or []]
