@@ -301,8 +301,8 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reformulate_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two variants of every query by a stand-in for the service."""
     df = _table(spark, sf_dir, "queries").where("content IS NOT NULL").select("line_no", "content")
-    answer = lambda body: {"data": {"queries": [body["q"], body["q"] + " ?"]}}
-    return reformulate.reformulate(df, answer, "q", "data.queries").select("line_no", "variant", "content")
+    answer = lambda body: {"variants": {"texts": [body["ask"], body["ask"] + " ?"]}}
+    return reformulate.reformulate(df, answer, "ask", "variants.texts").select("line_no", "variant", "content")
 
 
 # Mappings

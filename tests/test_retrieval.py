@@ -141,11 +141,16 @@ def test_bm25_against_brute_force(spark):
     assert lexical.bm25_retrieve(q.limit(0), d).count() == 0 and lexical.bm25_retrieve(q, d.limit(0)).count() == 0
 
 
+TOWNS = "Ulm Ems Inn Bad Ley Aue Jena Gera Suhl".split()
+#: Town -> (label by river); some towns aren't there, some rivers aren't asked for.
+JUDGED = {"Elbe": {"Ulm": 2, "Inn": 0, "Rom": 1}, "Oder": {"Bad": 1, "Ulm": 0}, "Main": {}, "Nile": {"Ley": 0, "Aue": 1, "Jena": 2}}
+
+
 def mapping_tables(spark):
-    docs = spark.createDataFrame([(f"d{i}", i) for i in range(1, 8)], "id STRING, pos INT")
-    asked = spark.createDataFrame([("q1", 1), ("q2", 2), ("q3", 3), ("q1", 4), (None, 5)], "IN STRING, pos INT")
-    qrels = spark.createDataFrame([("q1", "d1", 0), ("q1", "d2", 1), ("q2", "d3", 1), ("q3", "d4", 1), ("q2", "gone", 1), ("other", "d5", 0), (None, "d6", 1)], "IN STRING, document_id STRING, label INT")
-    return docs, asked, qrels
+    docs = spark.createDataFrame([(t, 10 * i) for i, t in enumerate(TOWNS)] + [("Ems", 99)], "id STRING, pos INT")
+    asked = spark.createDataFrame([("Oder", 1), ("Elbe", 2), ("Main", 3), ("Elbe", 7), (None, 8)], "IN STRING, pos INT")
+    rows = [(river, town, label) for river, towns in JUDGED.items() for town, label in towns.items()] + [(None, "Jena", 1), ("Elbe", None, 1), ("Elbe", "Ulm", 1)]
+    return docs, asked, spark.createDataFrame(rows, "IN STRING, document_id STRING, label INT")
 
 
 def recipe(**changes):
@@ -163,23 +168,34 @@ def lists(df):
 def test_mappings(spark):
     docs, asked, qrels = mapping_tables(spark)
     make = lambda **c: lists(mapping.generate_mapping(spark, docs, asked, qrels, recipe(**c)))
-    assert make(include_annotated_docs=True) == {"q1": ["d1", "d2"], "q2": ["d3"], "q3": ["d4"]}
+    rivers = ["Elbe", "Main", "Oder"]
+    annotated = {r: [t for t in TOWNS if t in JUDGED[r]] for r in rivers}
+    nowhere = {t for t in TOWNS if not any(t in v for v in JUDGED.values())}
+    positive = {t for v in JUDGED.values() for t, label in v.items() if label > 0} & set(TOWNS)
+    assert make(include_annotated_docs=True) == {r: v for r, v in annotated.items() if v}
     easy = make(include_annotated_docs=True, easy_negative_docs_per_query=2)
-    assert all(set(v[-2:]) == {"d6", "d7"} for v in easy.values())
+    for r in rivers:
+        head, tail = easy[r][:-2], easy[r][-2:]
+        assert head == annotated[r] and len(set(tail)) == 2 and set(tail) <= nowhere
     gold = make(gold_passage_docs_per_query=2)
-    assert set(gold["q1"]) == {"d3", "d4"} and set(gold["q2"]) == {"d2", "d4"}
-    some = make(random_docs_per_query=5, include_annotated_docs=True)["q2"]
-    assert some[0] == "d3" and len(set(some)) == 6 and make(random_docs_per_query=5, include_annotated_docs=True)["q2"] == some
-    assert make(use_all_selected_documents_for_every_query=True, query_subset_size=1, document_subset_size=3).popitem()[1].__len__() == 3
+    for r in rivers:
+        assert len(gold[r]) == 2 and set(gold[r]) <= positive - set(JUDGED[r])
+    drawn = make(random_docs_per_query=5, include_annotated_docs=True)
+    assert all(v[: len(annotated[r])] == annotated[r] and len(set(v)) == len(v) == len(annotated[r]) + 5 for r, v in drawn.items()) and set(drawn) == set(rivers)
+    assert drawn == make(random_docs_per_query=5, include_annotated_docs=True) != make(random_docs_per_query=5, include_annotated_docs=True, seed=2)
+    some = make(use_all_selected_documents_for_every_query=True, query_subset_size=2, document_subset_size=4)
+    assert len(some) == 2 and len({tuple(v) for v in some.values()}) == 1 and all(len(v) == 4 and sorted(v, key=TOWNS.index) == v for v in some.values())
     assert make(query_subset_size=0) == {} and make() == {}
-    for bad in ({"query_subset_size": 9}, {"random_docs_per_query": 8}, {"easy_negative_docs_per_query": 3}, {"random_docs_per_query": -1}, {"use_all_selected_documents_for_every_query": True, "random_docs_per_query": 1}):
+    for bad in ({"query_subset_size": 4}, {"document_subset_size": 10}, {"random_docs_per_query": 10}, {"easy_negative_docs_per_query": len(nowhere) + 1}, {"random_docs_per_query": -1}, {"use_all_selected_documents_for_every_query": True, "random_docs_per_query": 1}):
         with pytest.raises(ValueError):
             make(**bad)
     with pytest.raises(ValueError, match="lacks"):
         mapping.parse_recipe({"seed": 1})
     stats = mapping.mapping_statistics(mapping.generate_mapping(spark, docs, asked, qrels, recipe(include_annotated_docs=True)), asked.where("`IN` IS NOT NULL"), docs.withColumnRenamed("id", "document_id")).first()
-    assert (stats.query_count, stats.active_document_count, stats.candidate_count_min, stats.candidate_count_max) == (3, 7, 1, 2)
-    assert mapping.exact_sample(list("abcdef"), 3, 13) == mapping.exact_sample(list("abcdef"), 3, 13)
+    sizes = [len(v) for v in annotated.values()]
+    assert (stats.query_count, stats.active_document_count, stats.candidate_count_min, stats.candidate_count_max) == (3, len(TOWNS), min(sizes), max(sizes)) and stats.candidate_count_mean == pytest.approx(sum(sizes) / 3)
+    picked = mapping.exact_sample(TOWNS, 4, 99)
+    assert picked == mapping.exact_sample(TOWNS, 4, 99) and len(set(picked)) == 4 and sorted(picked, key=TOWNS.index) == picked
 
 
 @pytest.mark.parametrize("few", [1, 40, 10_000])
@@ -221,19 +237,22 @@ def test_skewed_joins_are_joins(spark, how, limits):
 
 def test_mapping_checks_and_limits(spark):
     docs, asked, qrels = mapping_tables(spark)
-    stored = spark.createDataFrame([("q1", 0, "d1"), ("q1", 1, "d2"), ("q1", 2, "d1")], "IN STRING, pos INT, document_id STRING")
-    assert lists(mapping.resolve_mapping(stored, asked, docs)) == {"q1": ["d1", "d2"]}
-    with pytest.raises(ValueError, match="unknown document"):
-        mapping.resolve_mapping(stored.withColumn("document_id", F.lit("zz")), asked, docs)
-    wordings = spark.createDataFrame([("w1", "q1"), ("w2", "q1"), ("w3", "q2")], "id STRING, IN STRING")
-    assert mapping.query_candidates(wordings, stored, docs).count() == 6 + 7
-    with pytest.raises(KeyError):
+    stored = spark.createDataFrame([("Main", 3, "Jena"), ("Main", 1, "Suhl"), ("Main", 9, "Suhl"), ("Oder", 0, "Ulm")], "IN STRING, pos INT, document_id STRING")
+    assert lists(mapping.resolve_mapping(stored, asked, docs)) == {"Main": ["Suhl", "Jena"], "Oder": ["Ulm"]}
+    for bad, message in ((stored.withColumn("document_id", F.lit("Rom")), "unknown document"), (stored.withColumn("IN", F.lit("Nile")), "unknown need")):
+        with pytest.raises(ValueError, match=message):
+            mapping.resolve_mapping(bad, asked, docs)
+    wordings = spark.createDataFrame([("w1", "Main"), ("w2", "Main"), ("w3", "Oder"), ("w4", "Elbe")], "id STRING, IN STRING")
+    found = mapping.query_candidates(wordings, stored, docs)
+    assert {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()} == {"w1": 3, "w2": 3, "w3": 1, "w4": docs.count()}
+    with pytest.raises(KeyError, match="Elbe"):
         mapping.query_candidates(wordings, stored)
     ordered = qrels.withColumn("pos", F.monotonically_increasing_id())
-    d, q, j = mapping.limit_dataset(docs, asked, ordered, 1, 1)
-    assert sorted(r.id for r in d.collect()) == ["d1", "d2"] and q.count() == 2 and j.count() == 2
+    d, q, j = mapping.limit_dataset(docs, asked, ordered, 1, 1)  # the first need of the judgments is the Elbe: what it names comes whatever the limit
+    assert sorted(r.id for r in d.collect()) == ["Inn", "Ulm"] and {r.IN for r in q.collect()} == {"Elbe"} and j.count() == 3
     d, _, _ = mapping.limit_dataset(docs, asked, ordered, 4, 1)
-    assert sorted(r.id for r in d.collect()) == ["d1", "d2", "d3", "d4"]
+    assert sorted(r.id for r in d.collect()) == sorted(["Inn", "Ulm", "Ems", "Bad"])  # filled up in the order of the corpus
+    assert mapping.limit_dataset(docs, asked, ordered, None, None)[0] is docs
 
 
 def test_models(spark):

@@ -106,14 +106,13 @@ def test_chunks(spark):
 
 
 def test_reformulation(spark):
-    df = spark.createDataFrame([("1", "one"), ("2", "two"), ("3", "none")], "id STRING, content STRING")
-    call = lambda p: {"data": {"queries": [] if p["q"] == "none" else [p["q"] + p["x"], "b"]}}
-    got = sorted((r.id, r.variant, r.content) for r in reformulate.reformulate(df, call, "q", "data..queries", {"x": "!"}).collect())
-    assert got == [("1", 0, "one!"), ("1", 1, "b"), ("2", 0, "two!"), ("2", 1, "b"), ("3", -1, "none")]
-    assert reformulate.walk({"a": [{"b": 5}]}, "a.0.b") == 5
+    df = spark.createDataFrame([("1", "sun"), ("2", "moon"), ("3", "mute")], "id STRING, content STRING")
+    call = lambda p: {"answer": [{"texts": [] if p["ask"] == "mute" else [p["ask"] + p["mark"], p["ask"].upper()]}]}
+    got = sorted((r.id, r.variant, r.content) for r in reformulate.reformulate(df, call, "ask", "answer.0.texts", {"mark": "?"}).collect())
+    assert got == [("1", 0, "sun?"), ("1", 1, "SUN"), ("2", 0, "moon?"), ("2", 1, "MOON"), ("3", -1, "mute")]
     with pytest.raises(TypeError):
-        reformulate.walk({"a": 1}, "a.b")
-    single = reformulate.reformulate(df.limit(1), lambda p: {"r": 7}, "q", "r").first()
+        reformulate.walk({"answer": "x"}, "answer.texts")
+    single = reformulate.reformulate(df.limit(1), lambda p: {"r": 7}, "ask", "r").first()
     assert (single.variant, single.content) == (0, "7")
 
 
