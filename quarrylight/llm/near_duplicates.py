@@ -16,6 +16,11 @@ transpose counts the runs that two documents share. It isn't formed over all run
   the fraction ``common`` of their anchors. Each leaves out the fraction ``spare`` of its most
   frequent ones, in one order for all documents, so a similar pair still shares at least
   ``common - spare`` of the larger one's. Phrases that occur everywhere drop out.
+* An anchor of over ``frequent`` documents, which would give the square of them as pairs, is left
+  out even where a document has more of them than it may spare. Such documents follow a
+  template. One of them and one that spares all its frequent anchors still share others;
+  two of them are looked for among each other by the exact setting, which may leave out
+  nearly 60 % of a document's runs, so their template drops out there.
 * The product runs in blocks: an anchor's documents are cut into blocks, and each pair of
   blocks is multiplied apart. Counts are added up per pair, and pairs are dropped that
   share less than ``common - spare`` of the smaller one's anchors, or whose sizes alone rule
@@ -57,6 +62,8 @@ class Setting:
     spare: float = 0.2
     #: Documents in one block of an anchor's list.
     block: int = 256
+    #: Anchors of more documents than this are left out whatever a document would spare; what that could lose is found another way.
+    frequent: int | None = 5_000
     #: Anchors of cells of more entries than this (and than a 4096th of all) are counted by aggregation.
     heavy: int = 200_000
 
@@ -69,7 +76,7 @@ class Setting:
         shared one remains. The prefix holds over 40 % of all runs instead of a tenth of them
         as anchors: several times the shuffle and disk of the default setting.
         """
-        return cls(width, threshold, ((0, width, 1),), common=threshold, spare=threshold - 0.01)
+        return cls(width, threshold, ((0, width, 1),), common=threshold, spare=threshold - 0.01, frequent=None)
 
 
 def reduce_text(text: str) -> str:
@@ -215,8 +222,8 @@ def _describe(df: DataFrame, key: str, text: str, setting: Setting) -> DataFrame
     return chosen.where("id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInArrow(run, schema)
 
 
-def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFrame:
-    """(a, b) of representatives that may be similar, a < b."""
+def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) of representatives that may be similar, a < b, and the (id) of those that follow a template, None if there are none."""
     t, blocks = setting.threshold, setting.block
     entries = reps.select("id", F.explode("anchors").alias("anchor"))
     # How often an anchor occurs: the frequent ones are told apart by the counts of hash cells, of which
@@ -242,7 +249,10 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     place = F.row_number().over(Window.partitionBy("id", "tier").orderBy(F.col("df").desc(), "anchor"))
     sized = several.join(reps.select("id", "n_runs", "sizes"), "id").withColumn("tier", tier)
     kept = sized.withColumn("place", place).where(F.col("place") > spared)
-    prefix = space.write(kept.select("anchor", "id", "n_runs", least.alias("least"), F.col("df").cast("int").alias("df")), "prefix")
+    frequent = F.lit(False) if setting.frequent is None else F.col("df") > setting.frequent
+    prefix = space.write(kept.select("anchor", "id", "n_runs", least.alias("least"), F.col("df").cast("int").alias("df"), frequent.alias("frequent")), "prefix")
+    templated = space.write(prefix.where("frequent").select("id").distinct(), "templated") if setting.frequent is not None else None
+    prefix = prefix.where("NOT frequent").drop("frequent")
     # Blocks: document lists longer than a block are cut, and every pair of blocks is one product.
     n_blocks = F.ceil(F.col("df") / F.lit(blocks)).cast("int")
     own = F.when(n_blocks > 1, F.pmod(F.xxhash64("id"), n_blocks)).otherwise(0).cast("int")
@@ -259,7 +269,7 @@ def _candidates(space: Workspace, reps: DataFrame, setting: Setting) -> DataFram
     pairs = rows.select("anchor", "x", F.explode(F.filter("docs", partner)).alias("y"))
     pairs = pairs.select("anchor", F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.least", "y.least").alias("least"))
     counted = pairs.groupBy("a", "b", F.col("anchor").bitwiseAND(3).alias("tier")).agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
-    return counted.where("shared >= least").select("a", "b").distinct()
+    return counted.where("shared >= least").select("a", "b").distinct(), templated
 
 
 def jaccard(a: str, b: str, width: int) -> float:
@@ -329,11 +339,18 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str, text: str, set
         gone = F.broadcast(gone)
     reps = described.join(gone, "id", "left_anti")
     ids = space.write(described.select("id"), "ids")
-    pairs = space.write(_candidates(space, reps, setting), "candidates")
+    source = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{text}`"].cast("string").alias("text"))
+    found, templated = _candidates(space, reps, setting)
+    pairs = space.write(found, "candidates")
+    if templated is not None and templated.limit(1).count():
+        exact, inner = Setting.exact(setting.width, setting.threshold), Workspace(spark, "near-templates")
+        own = inner.write(_describe(source.join(templated, "id", "left_semi"), "id", "text", exact), "described")
+        more, _ = _candidates(inner, own, exact)
+        pairs = space.write(pairs.union(more).distinct(), "all-candidates")
+        inner.clear()
     space.drop("prefix")  # what follows reads the written ids, copies and candidates only
     space.drop("described")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    source = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{text}`"].cast("string").alias("text"))
     links = _verify(pairs, source.join(wanted, "id", "left_semi"), setting)
     members = ids.join(copies, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     return members, links

@@ -323,6 +323,36 @@ def test_the_exact_setting_agrees_on_the_tables(spark):
     assert found[0] == found[1]
 
 
+def test_templates_make_no_pairs_and_lose_none(spark, monkeypatch):
+    rng = random.Random(14)
+    template = words(rng, 60)
+    rows = []
+    for g in range(40):
+        own = words(rng, 70)
+        for _ in range(1 + g % 3):
+            t = list(template) + own
+            for _ in range(rng.randrange(0, 9)):
+                t[rng.randrange(len(t))] = "zzzz"
+            rows.append((len(rows), " ".join(t)))
+    rows += [(1000 + k, " ".join(words(rng, 50) + template[:8])) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, content STRING")
+    brute = brute_pairs(rows)
+    seen = []
+    inner = nd._candidates
+
+    def watched(space, reps, setting):
+        found, templated = inner(space, reps, setting)
+        seen.append((setting.frequent, spark.read.parquet(space.path("prefix")).where("NOT frequent").agg(F.max("df")).first()[0], found.count(), templated.count() if templated is not None else None))
+        return found, templated
+
+    monkeypatch.setattr(nd, "_candidates", watched)
+    _, links = nd.near_duplicates(spark, df, "doc_id", "content", nd.Setting(frequent=20))
+    assert len(brute) > 30 and {(r.a, r.b) for r in links.collect()} == brute
+    (limit, most, _, templated), (exact, inside, pairs, _) = seen
+    assert limit == 20 and most <= 20 and templated >= 60 and exact is None
+    assert inside < 30 and pairs < 5 * len(brute)  # the template is no reason to compare
+
+
 @pytest.mark.parametrize("block", [2, 512])
 @pytest.mark.parametrize("salt", [1, 1000])
 def test_all_pairs_with_hot_classes(spark, block, salt, monkeypatch):
