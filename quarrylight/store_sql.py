@@ -71,6 +71,9 @@ SQL: dict[str, str] = {
     "json_artifacts": "SELECT r_regionkey, r_name, sha256(r_name) AS digest FROM region",
     "content_digests": "SELECT doc_id, sha256(content) AS digest FROM documents WHERE content IS NOT NULL",
     "predictions_store": f"WITH {_NEST} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, id)::INT AS rank, id, document_id, round(score, 6) AS score FROM nested",
+    "predictions_nested": f"""WITH {_NEST.replace("document_id, score FROM", "document_id, score, data FROM")}
+      SELECT query_id, '[' || string_agg('{{' || concat_ws(',', '"id":' || to_json(id), '"document_id":' || to_json(document_id), '"score":' || score, '"data":' || to_json(data)) || '}}', ',' ORDER BY rank, id) || ']' AS results
+      FROM nested GROUP BY query_id""",
     "query_extra_data": "SELECT line_no::VARCHAR AS query_id, json(meta)::VARCHAR AS data FROM queries WHERE meta IS NOT NULL",
     "benchmark_corpus": f"SELECT id, concat_ws(chr(10), {_stripped('arg_min_null(title, doc_id)')}, {_stripped('arg_min_null(text, doc_id)')}) AS content FROM documents GROUP BY id",
     "benchmark_queries": "SELECT \"IN\" AS id, \"IN\", arg_min_null(content, line_no) AS content FROM queries WHERE \"IN\" <> '' GROUP BY ALL",
